@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..durable import table, unique_rows
-from . import bpe, packing
+from . import bpe, frequency, heavy, overlap, packing
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("KMERLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -21,6 +21,46 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return unique_rows(table(spark, sf_dir, "documents", *columns), "doc_id")
 
 
+def p3_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared k-mers of every pair of samples, with the sizes of both sets."""
+    rows = table(spark, sf_dir, "sample_counts", "kmer_bits", "sample_idx", "cnt").where("cnt >= 1")
+    return overlap.overlaps(rows, "kmer_bits", "sample_idx").select(
+        F.col("set_a").alias("sample_a"), F.col("set_b").alias("sample_b"), "shared", "size_a", "size_b"
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of samples that share at least half of the smaller set."""
+    return p3_overlaps(spark, sf_dir).where("2 * shared >= least(size_a, size_b)").select("sample_a", "sample_b")
+
+
+def counted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of sample_counts that count, a replayed row once."""
+    rows = table(spark, sf_dir, "sample_counts").where("kmer_bits is not null and sample_idx is not null and cnt > 0")
+    return rows.distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mers with at least 1/500 of all counts."""
+    return heavy.most_frequent(counted_rows(spark, sf_dir), "kmer_bits", "cnt", share=1 / 500).select("kmer_bits")
+
+
+def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 k-mers with the largest summed counts."""
+    return heavy.most_frequent(counted_rows(spark, sf_dir), "kmer_bits", "cnt", k=100)
+
+
+def p5_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences, rows and mark of every packed count word."""
+    rows = table(spark, sf_dir, "counts_layer").distinct()
+    return frequency.term_frequencies(rows, "counts", "n_cids").withColumnRenamed("term", "word")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in too few or too many rows to be worth sharing."""
+    return p5_words(spark, sf_dir).where("mark is not null").select("word", "mark")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_corpus(documents(spark, sf_dir, "doc_id", "text"), BYTE_BPE)
@@ -38,8 +78,37 @@ def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_containers": p7_containers, "p7_filling": p7_filling}
+    own = (p3_found, p3_overlaps, p4_found, p4_top, p5_found, p5_words, p6_ids, p7_containers, p7_filling)
+    return {f.__name__: f for f in own}
+
+
+_SETS = """sets AS (SELECT DISTINCT kmer_bits, sample_idx FROM sample_counts
+    WHERE cnt >= 1 AND kmer_bits IS NOT NULL AND sample_idx IS NOT NULL),
+  sizes AS (SELECT sample_idx, count(*) AS n FROM sets GROUP BY 1),
+  pairs AS (SELECT a.sample_idx AS sample_a, b.sample_idx AS sample_b, count(*) AS shared
+    FROM sets a JOIN sets b ON a.kmer_bits = b.kmer_bits AND a.sample_idx < b.sample_idx GROUP BY 1, 2),
+  sized AS (SELECT sample_a, sample_b, shared, x.n AS size_a, y.n AS size_b
+    FROM pairs JOIN sizes x ON x.sample_idx = sample_a JOIN sizes y ON y.sample_idx = sample_b)"""
+
+_COUNTED = """counted AS (SELECT DISTINCT * FROM sample_counts
+    WHERE kmer_bits IS NOT NULL AND sample_idx IS NOT NULL AND cnt > 0),
+  totals AS (SELECT kmer_bits, CAST(sum(cnt) AS BIGINT) AS total FROM counted GROUP BY 1)"""
+
+_WORDS = """rows_once AS (SELECT DISTINCT * FROM counts_layer),
+  numbered AS (SELECT row_number() OVER () AS r, n_cids, counts FROM rows_once),
+  tokens AS (SELECT r, unnest(counts[1:n_cids]) AS word FROM numbered WHERE n_cids > 0),
+  freq AS (SELECT word, count(*) AS occurrences, count(DISTINCT r) AS records
+    FROM tokens WHERE word IS NOT NULL GROUP BY 1),
+  marked AS (SELECT word, occurrences, records, CASE WHEN records < 3 THEN 'rare'
+    WHEN records >= 0.05 * (SELECT count(*) FROM rows_once) THEN 'common' END AS mark FROM freq)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"WITH {_SETS} SELECT sample_a, sample_b FROM sized WHERE 2 * shared >= least(size_a, size_b)",
+        "p3_overlaps": f"WITH {_SETS} SELECT * FROM sized",
+        "p4_found": f"WITH {_COUNTED} SELECT kmer_bits FROM totals WHERE total >= (SELECT sum(total) FROM totals) / 500.0",
+        "p4_top": f"WITH {_COUNTED} SELECT kmer_bits, total FROM totals ORDER BY total DESC, kmer_bits LIMIT 100",
+        "p5_found": f"WITH {_WORDS} SELECT word, mark FROM marked WHERE mark IS NOT NULL",
+        "p5_words": f"WITH {_WORDS} SELECT * FROM marked",
+    }
