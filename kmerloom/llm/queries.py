@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..durable import table, unique_rows
-from . import bpe, frequency, heavy, overlap, packing
+from . import bpe, frequency, heavy, overlap, packing, spans
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("KMERLOOM_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
+SHARED_RUN = 200
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -77,8 +78,27 @@ def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p7_containers(spark, sf_dir), CAPACITY)
 
 
+def shared_spans(spark: SparkSession, sf_dir: str) -> spans.SharedSpans:
+    return spans.SharedSpans(table(spark, sf_dir, "documents", "doc_id", "text"), SHARED_RUN)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with a verbatim run of at least 200 characters in common."""
+    return shared_spans(spark, sf_dir).pairs()
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of every document that stand in another one too."""
+    return shared_spans(spark, sf_dir).spans()
+
+
+def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the share of its characters that also stands in another one."""
+    return shared_spans(spark, sf_dir).shares()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p3_found, p3_overlaps, p4_found, p4_top, p5_found, p5_words, p6_ids, p7_containers, p7_filling)
+    own = (p3_found, p3_overlaps, p4_found, p4_top, p5_found, p5_words, p6_ids, p7_containers, p7_filling, p8_found, p8_spans, p8_share)
     return {f.__name__: f for f in own}
 
 
