@@ -10,3 +10,20 @@ def last_wins_map(keys: Column, values: Column) -> Column:
     entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
     left = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["k"]))
     return F.map_from_arrays(F.transform(left, lambda e: e["k"]), F.transform(left, lambda e: e["v"]))
+
+
+def gtf_attributes(text: Column) -> Column:
+    """Map of the quoted, non-empty attributes of a GTF line; unquoted and empty values are dropped."""
+    pattern = F.lit(r'(\w+)\s+"([^"]+)"')
+    return last_wins_map(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)))
+
+
+def gff3_attributes(text: Column) -> Column:
+    """Map of the ``key=value`` attributes of a GFF3 line; empty values stay, items without ``=`` are dropped."""
+    items = F.filter(F.transform(F.split(text, ";", -1), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("=")))
+    return last_wins_map(F.transform(items, lambda x: F.substring_index(x, "=", 1)), F.transform(items, lambda x: F.regexp_extract(x, "(?s)^[^=]*=(.*)$", 1)))
+
+
+def map_text(attrs: Column) -> Column:
+    """A map as text, sorted by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(attrs)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
