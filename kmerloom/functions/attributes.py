@@ -7,9 +7,9 @@ from pyspark.sql import Column, functions as F
 
 def last_wins_map(keys: Column, values: Column) -> Column:
     """Map of two arrays of equal length; of equal keys the last one counts, whatever the session's policy."""
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    left = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["k"]))
-    return F.map_from_arrays(F.transform(left, lambda e: e["k"]), F.transform(left, lambda e: e["v"]))
+    back, last = F.reverse(keys), F.array_distinct(F.reverse(keys))
+    found = F.transform(last, lambda k: F.element_at(F.reverse(values), F.array_position(back, k).cast("int")))
+    return F.when(F.size(last) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(last, found))
 
 
 def gtf_attributes(text: Column) -> Column:
