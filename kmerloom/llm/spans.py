@@ -175,13 +175,25 @@ class SuffixAutomaton:
             mask[last] |= bit
 
 
-def shared_in_shard(strings: list[str], min_length: int) -> tuple[list[list[tuple[int, int]]], list[int]]:
-    """For every string its spans that others hold too, and the sets of strings (as bit masks) that share a run."""
+def shared_in_shard(strings: list[str], min_length: int, owners: list[tuple]) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """For every string its spans that stand in another text too, and the sets of strings (as bit masks) that share a run.
+
+    ``owners`` has the least and the greatest text that holds each string: a word of the automaton
+    stands in several texts if the owners of the strings that hold it are not all one text.
+    """
     sam = SuffixAutomaton(strings)
     link, length, mask = sam.link, sam.length, sam.mask
-    shared, run = [0] * len(link), [0] * len(link)  # nearest ancestor that others hold; highest of enough length
+    known: dict[int, bool] = {}
+
+    def several(m: int) -> bool:
+        if m not in known:
+            held = [o for k, o in enumerate(owners) if m >> k & 1]
+            known[m] = bool(held) and min(a for a, _ in held) != max(b for _, b in held)
+        return known[m]
+
+    shared, run = [0] * len(link), [0] * len(link)  # nearest ancestor in several texts; highest one of enough length
     for v in sorted(range(1, len(link)), key=length.__getitem__):
-        shared[v] = v if mask[v] & (mask[v] - 1) else shared[link[v]]
+        shared[v] = v if several(mask[v]) else shared[link[v]]
         run[v] = run[link[v]] if length[link[v]] >= min_length else v
     sets: set[int] = set()
     spans: list[list[tuple[int, int]]] = []
@@ -244,18 +256,18 @@ CLASS_ROWS = "h bigint, cls binary, groups array<string>, spans array<struct<sta
 
 
 def _by_automata(classes: DataFrame, min_length: int) -> DataFrame:
-    """Run the automaton of every anchor; ``classes`` has (h, cls, piece, several), all of one ``h`` fit in a task."""
+    """Run the automaton of every anchor; ``classes`` has (h, cls, piece, low, high), all of one ``h`` fit in a task."""
 
     def solve(h: int, rows: list[dict]) -> Iterator[dict]:
-        spans, sets = shared_in_shard([r["piece"] for r in rows], min_length) if len(rows) > 1 else ([[]], [])
+        owners = [(r["low"], r["high"]) for r in rows]
+        if len(rows) > 1:
+            spans, sets = shared_in_shard([r["piece"] for r in rows], min_length, owners)
+        else:  # the automaton of one string accepts all of it
+            spans, sets = [[(0, len(rows[0]["piece"]))] if owners[0][0] != owners[0][1] else []], [1]
         for i, r in enumerate(rows):
-            groups = [f"a{k}" for k, m in enumerate(sets) if m >> i & 1]
-            own = [{"start": a, "stop": b} for a, b in spans[i]]
-            if r["several"]:  # texts that are equal here share all of it
-                own = [{"start": 0, "stop": len(r["piece"])}]
-                groups = groups or [r["cls"].hex()]
-            if own:
-                yield {"h": h, "cls": r["cls"], "groups": groups, "spans": own}
+            if spans[i]:
+                groups = [f"a{k}" for k, m in enumerate(sets) if m >> i & 1]
+                yield {"h": h, "cls": r["cls"], "groups": groups, "spans": [{"start": a, "stop": b} for a, b in spans[i]]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
@@ -281,19 +293,13 @@ def _by_automata(classes: DataFrame, min_length: int) -> DataFrame:
 
 def _by_runs(classes: DataFrame, min_length: int) -> DataFrame:
     """The same for anchors with too many classes: compare all runs of ``min_length`` by aggregation."""
-    n = F.length("piece")
-    runs = classes.select("h", "cls", "several", n.alias("n"), "piece", F.explode(F.sequence(F.lit(0), n - min_length)).alias("o")).select(
-        "h", "cls", "several", "n", "o", F.md5(F.expr(f"substring(piece, o + 1, {min_length})")).alias("run")
-    )
-    shared = runs.groupBy("h", "run").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h", "run")
-    met = runs.join(shared.withColumn("met", F.lit(True)), ["h", "run"], "left").where("met or several")
-    full = F.array(F.struct(F.lit(0).alias("start"), F.first("n").alias("stop")))
-    spans = F.sort_array(F.collect_set(F.when(F.col("met"), F.struct(F.col("o").alias("start"), (F.col("o") + min_length).alias("stop")))))
-    groups = F.collect_set(F.when(F.col("met"), F.col("run")))
-    return met.groupBy("h", "cls").agg(
-        F.when(F.size(groups) > 0, groups).otherwise(F.array(F.lower(F.hex("cls")))).alias("groups"),
-        F.when(F.first("several"), full).otherwise(spans).alias("spans"),
+    starts = F.sequence(F.lit(0), F.length("piece") - min_length)
+    runs = classes.select("h", "cls", "low", "high", "piece", F.explode(starts).alias("o")).select(
+        "h", "cls", "low", "high", "o", F.md5(F.expr(f"substring(piece, o + 1, {min_length})").cast("binary")).alias("run")
     )
+    shared = runs.groupBy("h", "run").agg(F.min("low").alias("l"), F.max("high").alias("g")).where("l <> g").select("h", "run")
+    span = F.struct(F.col("o").alias("start"), (F.col("o") + min_length).alias("stop"))
+    return runs.join(shared, ["h", "run"]).groupBy("h", "cls").agg(F.collect_set("run").alias("groups"), F.sort_array(F.collect_set(span)).alias("spans"))
 
 
 class SharedSpans:
@@ -333,7 +339,7 @@ class SharedSpans:
         by_text = materialise(by_text.join(first, "tid").withColumn("n", F.size("anchors")), "located")
         located = long.select("key", "tid", "text").join(by_text.where("n > 0").select("key", "tid", "anchors"), ["key", "tid"]).dropDuplicates(["tid"])
         self.pieces = materialise(_surroundings(located, self.min_length, anchor), "pieces")
-        classes = self.pieces.groupBy("h", "cls").agg(F.min("piece").alias("piece"), (F.min("tid") != F.max("tid")).alias("several"))
+        classes = self.pieces.groupBy("h", "cls").agg(F.min("piece").alias("piece"), F.min("tid").alias("low"), F.max("tid").alias("high"))
         classes = materialise(classes, "classes")
         large = materialise(classes.groupBy("h").count().where(F.col("count") > shard_classes).select("h"), "large")
         if large.isEmpty():
