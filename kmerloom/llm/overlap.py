@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..durable import materialise
+
 LIGHT = 6
 MAX_SETS = 4096
 #: Rows of one dense product: float32 counts exactly up to 2**24.
@@ -90,7 +92,7 @@ def pair_counts(df: DataFrame, item: str, member_of: str) -> DataFrame:
 
 def overlaps(df: DataFrame, item: str, member_of: str) -> DataFrame:
     """``(set_a, set_b, shared, size_a, size_b)`` with set_a < set_b, for pairs that share anything."""
-    pairs = pair_counts(df, item, member_of)
+    pairs = materialise(pair_counts(df, item, member_of), "pairs")  # read three times, counted once
     # At most MAX_SETS squared rows: one small table, whose sizes are its own diagonal.
     sizes = F.broadcast(pairs.where("set_a = set_b").select(F.col("set_a").alias("__s"), F.col("shared").alias("__n")))
     with_a = pairs.where("set_a < set_b").join(sizes, F.col("set_a") == F.col("__s")).withColumnRenamed("__n", "size_a").drop("__s")
