@@ -148,7 +148,7 @@ def test_sample_replaces_itself_and_compacts(spark, tmp_path):
 
 
 def test_legacy_version(tmp_path):
-    p = tmp_path / "a.kct"
+    p = tmp_path / "old.bin"
     p.write_bytes(struct.pack("<d", 1.4) + b"rest")
     assert store.legacy_version(str(p)) == 1.4
     p.write_bytes(b"abc")
