@@ -39,11 +39,15 @@ def _keep(rows: DataFrame, bits: int, prefixes: DataFrame) -> DataFrame:
     return rows.join(prefixes, _prefix(bits) == F.col("p"), "left_semi")
 
 
-def _sums(rows: DataFrame, bits: int) -> DataFrame:
-    return rows.groupBy(_prefix(bits).alias("p")).agg(
-        F.sum("__weight").alias("total"), F.min("__item").alias("low"), F.max("__item").alias("high"),
-        F.max(F.struct("__weight", "__item")).alias("heaviest"),
-    )
+def _sums(rows: DataFrame, bits: int, ranked: bool) -> DataFrame:
+    """Total, least and greatest value of every prefix, and its heaviest row where a rank is sought.
+
+    The row costs a sort instead of a hash table, which a given share of all weight has no use for.
+    """
+    sums = [F.sum("__weight").alias("total"), F.min("__item").alias("low"), F.max("__item").alias("high")]
+    if ranked:
+        sums.append(F.max(F.struct("__weight", "__item")).alias("heaviest"))
+    return rows.groupBy(_prefix(bits).alias("p")).agg(*sums)
 
 
 def _kth_bound(rows: DataFrame, level: DataFrame, k: int):
@@ -67,7 +71,7 @@ def most_frequent(df: DataFrame, item: str, weight: str | None = None, *, k: int
     rows = df.select(F.col(item).alias("__item"), counted.alias("__weight")).where("__item is not null and __weight > 0")
     left, bound = rows, None
     for n, bits in enumerate(LEVELS):
-        level = materialise(_sums(left, bits), "prefixes")
+        level = materialise(_sums(left, bits, k is not None), "prefixes")
         if share is not None and bound is None:
             bound = (level.agg(F.sum("total")).first()[0] or 0) * share
         elif share is None:
