@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import BIOTYPE_LAYER, BITS_PER_RESIDUE, COUNTS_LAYER, INTERGENIC, INTERGENIC_MASK, MAX_RESIDUES, SUFFIX_RESIDUES
+from ..durable import materialise
 from ..functions import biotypes
 from ..functions.kmers import unpack
 from .positions import at_positions, between_positions, with_position
@@ -127,6 +128,16 @@ class KmerTable:
         rows = count_vector(self.counts, self.samples)
         return rows if self.masks is None else rows.join(self.masks, "kmer_bits", "left").fillna({"biotype_mask": INTERGENIC_MASK})
 
+    def _of(self, placed: DataFrame) -> DataFrame:
+        """The layers of the placed keys ``(kmer_bits, pos)``; vectors are made of these keys only."""
+        rows = placed
+        if self.counts is not None:
+            wanted = self.counts.join(placed.select("kmer_bits"), "kmer_bits", "left_semi")
+            rows = rows.join(count_vector(wanted, self.samples), "kmer_bits")
+        if self.masks is not None:
+            rows = rows.join(self.masks, "kmer_bits", "left").fillna({"biotype_mask": INTERGENIC_MASK})
+        return rows.withColumn("kmer", unpack(F.col("kmer_bits"), self.residues))
+
     def rows(self) -> DataFrame:
         """``wide`` with the position and the text of every key."""
         return with_position(self.wide(), "kmer_bits").withColumn("kmer", unpack(F.col("kmer_bits"), self.residues))
@@ -135,10 +146,13 @@ class KmerTable:
         return self.slice(position, position)
 
     def slice(self, first: int, last: int) -> DataFrame:
-        return between_positions(self.rows(), first, last)
+        """Rows at positions ``first`` to ``last``; only keys are sorted and placed."""
+        return self._of(materialise(between_positions(with_position(self.keys, "kmer_bits"), first, last), "placed"))
 
     def take(self, positions: list[int]) -> DataFrame:
-        return at_positions(self.rows(), positions)
+        """Rows at the given positions, in their order and as often as they are named: adds ``ordinal``."""
+        placed = with_position(self.keys, "kmer_bits").where(F.col("pos").isin(sorted(set(positions))))
+        return at_positions(self._of(materialise(placed, "placed")), positions)
 
     def lookup(self, probes: DataFrame) -> DataFrame:
         """``probes`` (kmer_bits) with ``pos``, 0 where the table lacks the key. The keys are unique, so no probe is repeated."""
