@@ -57,3 +57,17 @@ def unique_rows(df: DataFrame, key: str, *identity: str) -> DataFrame:
     same = F.col(key).eqNullSafe(F.col("__key"))
     once = df.join(ids, same, "left_anti")
     return once.unionByName(df.join(ids, same, "left_semi").dropDuplicates(identity))
+
+
+def wide_parallelism(spark: SparkSession) -> int:
+    """Partitions for a stage that costs far more than its input's bytes show: no fewer than cores or shuffle partitions."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan, its rows dealt out anew where it has fewer splits than there are cores.
+
+    For stages bound by computing. A table with a split per core, as any large one, is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import AA28, BITS_PER_RESIDUE, CODON64, MAX_RESIDUES
@@ -95,16 +93,19 @@ def decode5(code: Column) -> Column:
     return F.when((code >= 0) & (code < len(AA28)), F.substr(F.lit(AA28), code.cast("int") + 1, F.lit(1)))
 
 
+#: The digits of base 32 that stand for the residues' codes.
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"[: len(AA28)]
+
+
 def pack(kmer: Column, residues: int) -> Column:
     """Key of a k-mer of ``residues`` residues: 5 bits each, the first one most significant.
 
-    The sum is unrolled, so it stays inside generated code. Null for other lengths or symbols.
+    Read as digits of base 32, the codes are the number itself. Null for other lengths or symbols.
     """
     if not 0 < residues <= MAX_RESIDUES:
         raise ValueError(f"between 1 and {MAX_RESIDUES} residues fit a packed key")
-    codes = [encode5(F.substring(kmer, i + 1, 1)).cast("long") for i in range(residues)]
-    bits = reduce(lambda acc, c: acc * 32 + c, codes)
-    return F.when(F.length(kmer) == residues, bits)
+    known = (F.length(kmer) == residues) & (F.translate(kmer, AA28, "") == "")
+    return F.when(known, F.conv(F.translate(kmer, AA28, _DIGITS), 32, 10).cast("long"))
 
 
 def residue_code(bits: Column, i: int, residues: int) -> Column:
@@ -113,8 +114,10 @@ def residue_code(bits: Column, i: int, residues: int) -> Column:
 
 
 def unpack(bits: Column, residues: int) -> Column:
-    """The k-mer of a packed key."""
-    return F.concat(*[decode5(residue_code(bits, i, residues)) for i in range(1, residues + 1)])
+    """The k-mer of a packed key; null for one that holds codes outside the alphabet or further bits."""
+    digits = F.lpad(F.conv(bits.cast("string"), 10, 32), residues, "0")
+    fits = (bits >= 0) & (bits < F.lit(1 << (BITS_PER_RESIDUE * residues))) & (F.translate(digits, _DIGITS, "") == "")
+    return F.when(fits, F.translate(digits, _DIGITS, AA28))
 
 
 def binary_string(bits: Column) -> Column:

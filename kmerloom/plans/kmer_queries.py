@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import AA28, CODON64
-from ..durable import materialise, shared_dir, table
+from ..durable import materialise, shared_dir, table, wide_parallelism
 from ..functions import attributes, biotypes, kmers
 from ..operators import counting, genomic_index, metrics, peptides, positions
 from ..operators.table import KmerTable, count_vector, push_vector, unpack_words
@@ -25,7 +25,7 @@ def text(array) -> F.Column:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript sequences read as reads; the sample is the month of loading."""
-    rows = table(spark, sf_dir, "fasta_records", "rec_id", "sequence", "loaded_at").distinct()
+    rows = table(spark, sf_dir, "fasta_records", "rec_id", "sequence", "loaded_at").repartition(wide_parallelism(spark), "rec_id").distinct()
     return rows.select("rec_id", F.month("loaded_at").alias("sample_idx"), F.col("sequence").alias("seq"))
 
 
@@ -46,7 +46,7 @@ def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "fasta_records", "rec_id", "header", "sequence").distinct()
+    return table(spark, sf_dir, "fasta_records", "rec_id", "header", "sequence").repartition(wide_parallelism(spark), "rec_id").distinct()
 
 
 def index(spark: SparkSession, sf_dir: str) -> KmerTable:
