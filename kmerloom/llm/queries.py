@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..durable import table, unique_rows
+from ..durable import spread, table, unique_rows
 from . import bpe, frequency, heavy, overlap, packing, spans
 
 #: Folder of the public tokenizers' files.
@@ -19,7 +19,7 @@ SHARED_RUN = 200
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents, a replayed row once."""
-    return unique_rows(table(spark, sf_dir, "documents", *columns), "doc_id")
+    return unique_rows(spread(table(spark, sf_dir, "documents", *columns)), "doc_id")
 
 
 def p3_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_spans(spark: SparkSession, sf_dir: str) -> spans.SharedSpans:
-    return spans.SharedSpans(table(spark, sf_dir, "documents", "doc_id", "text"), SHARED_RUN)
+    return spans.SharedSpans(spread(table(spark, sf_dir, "documents", "doc_id", "text")), SHARED_RUN)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,14 @@ _WORDS = """rows_once AS (SELECT DISTINCT * FROM counts_layer),
   marked AS (SELECT word, occurrences, records, CASE WHEN records < 3 THEN 'rare'
     WHEN records >= 0.05 * (SELECT count(*) FROM rows_once) THEN 'common' END AS mark FROM freq)"""
 
+_RUNS = f"""runs AS (SELECT doc_id, i, md5(substr(text, i::INT, {SHARED_RUN})) AS run
+    FROM (SELECT doc_id, text, unnest(range(1, length(text) - {SHARED_RUN - 2})) AS i FROM documents WHERE length(text) >= {SHARED_RUN})),
+  shared AS (SELECT run FROM runs GROUP BY run HAVING min(doc_id) < max(doc_id)),
+  held AS (SELECT runs.* FROM runs JOIN shared USING (run)),
+  marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {SHARED_RUN} THEN 0 ELSE 1 END AS new FROM held),
+  islands AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+  spans AS (SELECT doc_id, min(i) - 1 AS span_start, max(i) - 1 + {SHARED_RUN} AS span_stop FROM islands GROUP BY doc_id, k)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -131,4 +139,9 @@ def oracle_sql() -> dict[str, str]:
         "p4_top": f"WITH {_COUNTED} SELECT kmer_bits, total FROM totals ORDER BY total DESC, kmer_bits LIMIT 100",
         "p5_found": f"WITH {_WORDS} SELECT word, mark FROM marked WHERE mark IS NOT NULL",
         "p5_words": f"WITH {_WORDS} SELECT * FROM marked",
+        "p8_found": f"WITH {_RUNS}, d AS (SELECT DISTINCT doc_id, run FROM held) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.run = b.run AND a.doc_id < b.doc_id",
+        "p8_spans": f"WITH {_RUNS} SELECT * FROM spans",
+        "p8_share": f"""WITH {_RUNS}, s AS (SELECT doc_id, sum(span_stop - span_start)::BIGINT AS n FROM spans GROUP BY 1)
+            SELECT doc_id, coalesce(length(text), 0)::INT AS n_chars, coalesce(n, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) ELSE 0.0::DOUBLE END AS share
+            FROM (SELECT DISTINCT doc_id, text FROM documents) LEFT JOIN s USING (doc_id)""",
     }

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..durable import materialise
+from ..durable import materialise, wide_parallelism
 
 ANCHOR = 64
 SHARD_CLASSES = 256
@@ -288,7 +288,8 @@ def _by_automata(classes: DataFrame, min_length: int) -> DataFrame:
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     schema = pa.schema([("h", pa.int64()), ("cls", pa.binary()), ("groups", pa.list_(pa.string())), ("spans", span)])
-    return classes.repartition("h").sortWithinPartitions("h").mapInArrow(run, CLASS_ROWS)
+    # A fixed number of partitions: their few bytes would else be joined into too few tasks for the work.
+    return classes.repartition(wide_parallelism(classes.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, CLASS_ROWS)
 
 
 def _by_runs(classes: DataFrame, min_length: int) -> DataFrame:
