@@ -332,8 +332,10 @@ class SharedSpans:
     def _prepare(self, long: DataFrame, anchor: int, shard_classes: int) -> None:
         self.copies = materialise(long.groupBy("key", "tid").agg(F.lit(1).alias("one")).drop("one"), "texts")
         points = materialise(_anchors(long, self.min_length, anchor), "anchors")
-        shared = points.groupBy("h").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-        shared = materialise(shared.select("h", "n"), "shared")
+        # Two hashes of a text's id, not the id: numbers are aggregated in a hash table, binaries by sorting.
+        a, b = F.xxhash64("tid"), F.hash("tid")
+        shared = points.groupBy("h").agg(F.min(a).alias("a0"), F.max(a).alias("a1"), F.min(b).alias("b0"), F.max(b).alias("b1"))
+        shared = materialise(shared.where("a0 < a1 or b0 < b1").select("h", F.lit(2).alias("n")), "shared")
         found = points.join(shared.where("n > 1").select("h"), "h")
         by_text = found.groupBy("tid").agg(F.collect_set(F.struct("h", "pos")).alias("anchors"))
         first = self.copies.groupBy("tid").agg(F.min("key").alias("key"))
