@@ -164,6 +164,26 @@ def lookup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort(spark, sf_dir).lookup(probes)
 
 
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least and the greatest key, and one beyond, looked up one by one."""
+    t = cohort(spark, sf_dir)
+    low, high = t.keys.agg(F.min("kmer_bits"), F.max("kmer_bits")).first()
+    return spark.createDataFrame([(b, t.find(b)) for b in (low, high, high + 1)], "kmer_bits bigint, pos bigint")
+
+
+def stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that the words of a packed row really hold; the others are implicit zeros."""
+    used = F.greatest(F.coalesce(F.col("n_cids").cast("int"), F.lit(0)), F.lit(0))
+    return packed_rows(spark, sf_dir).select("kmer_bits", "samples", F.least(used * 4, F.col("samples")).alias("stored"))
+
+
+def twobit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of the usable reads as their codes."""
+    usable = reads(spark, sf_dir).where(kmers.usable_read(F.col("seq"), K))
+    codes = F.transform(F.split(kmers.to_dna(F.col("seq")), ""), lambda b: kmers.twobit(b).cast("string"))
+    return usable.select("rec_id", F.array_join(codes, "").alias("codes"))
+
+
 def prefix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort(spark, sf_dir).prefix_index()
 
@@ -288,7 +308,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OWN = (
     read_filter, frame_translate, kmerize_dna, kmerize_aa, encode5_decode5, kmer_count_by_sample, kmer_count_two_level, sample_count_table,
-    count_matrix_wide, push_full_outer, push_samples, count_vectors_packed, kmer_position, kmer_slice, kmer_gather, lookup_batch, prefix_index,
+    count_matrix_wide, push_full_outer, push_samples, count_vectors_packed, kmer_position, kmer_slice, kmer_gather, lookup_batch, point_lookup, prefix_index, stored_counts, twobit_codes,
     csr_offsets, key_deltas, collapse_dictionary, shared_vectors, gtf_attrs, gff3_attrs, fasta_header_fields, tid_biotype_last_wins, biotype_bits,
     genomic_index_masks, add_biotypes, annotated_matrix, biotype_names, has_biotype, mask_pool, intergenic_tally, peptide_hits, sample_totals,
     cardinality_growth, elapsed_times, component_sizes, stream_ingest,
@@ -366,6 +386,9 @@ ORACLE = {
     "kmer_slice": f"WITH {_COUNTS}, {_WIDE} SELECT pos, kmer_bits, {_UNPACK('kmer_bits')} AS kmer, array_to_string(counts, ',') AS counts FROM placed JOIN vectors USING (kmer_bits) WHERE pos BETWEEN 101 AND 400",
     "kmer_gather": f"WITH {_COUNTS}, {_WIDE}, want AS (SELECT * FROM (VALUES (0::BIGINT, 7), (1, 3), (2, 7), (3, 250), (4, 1)) t(ordinal, pos)) SELECT ordinal, placed.pos, kmer_bits, {_UNPACK('kmer_bits')} AS kmer, array_to_string(counts, ',') AS counts FROM want JOIN placed ON placed.pos = want.pos JOIN vectors USING (kmer_bits)",
     "lookup_batch": f"WITH {_COUNTS} SELECT p.kmer_bits, coalesce(pos, 0) AS pos FROM (SELECT DISTINCT kmer_bits FROM counts_layer WHERE kmer_bits IS NOT NULL) p LEFT JOIN placed USING (kmer_bits)",
+    "point_lookup": f"WITH {_COUNTS}, e AS (SELECT min(kmer_bits) AS low, max(kmer_bits) AS high FROM keys) SELECT kmer_bits, pos FROM placed, e WHERE kmer_bits IN (low, high) UNION ALL SELECT high + 1, 0 FROM e",
+    "stored_counts": f"WITH {_PACKED} SELECT kmer_bits, samples, least(4 * greatest(coalesce(n_cids, 0), 0), samples)::INT AS stored FROM packed",
+    "twobit_codes": f"WITH {_READS} SELECT rec_id, translate(dna, 'ACGT', '0123') AS codes FROM usable",
     "prefix_index": f"WITH {_COUNTS} SELECT kmer_bits >> 20 AS prefix, min(pos) AS first_pos, max(pos) AS last_pos FROM placed GROUP BY 1",
     "csr_offsets": f"WITH {_PACKED} SELECT kmer_bits, coalesce(n_cids, 0)::BIGINT AS n, (1 + coalesce(sum(coalesce(n_cids, 0)) OVER (ORDER BY kmer_bits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first FROM packed WHERE kmer_bits IS NOT NULL",
     "key_deltas": f"WITH {_COUNTS} SELECT kmer_bits, kmer_bits - lag(kmer_bits) OVER (ORDER BY kmer_bits) AS delta FROM keys",

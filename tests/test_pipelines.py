@@ -70,3 +70,23 @@ def test_legacy(spark, tmp_path, version):
     p.write_bytes(p.read_bytes()[:-1])
     with pytest.raises(ValueError):
         legacy.read_legacy(str(p))
+
+
+def test_public_names():
+    import kmerloom
+
+    assert all(callable(getattr(kmerloom, n)) for n in kmerloom.__all__)
+    with pytest.raises(AttributeError):
+        kmerloom.nothing
+
+
+def test_core_does_not_import_llm():
+    import os
+    import re
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for folder, _, names in os.walk(os.path.join(root, "kmerloom")):
+        for n in names:
+            if n.endswith(".py") and os.sep + "llm" not in folder:
+                with open(os.path.join(folder, n)) as f:
+                    assert not re.search(r"import.*\bllm\b|from.*\bllm\b", f.read())
