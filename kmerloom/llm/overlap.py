@@ -31,14 +31,19 @@ BLOCK_CELLS = 1 << 22
 def add_light(into: np.ndarray, bits: np.ndarray, degree: np.ndarray) -> None:
     """Expand the pairs of sets of every row, rows of one degree at a time."""
     n = len(into)
-    flat = into.reshape(-1)
+    cells = []
     for d in np.unique(degree):
-        if d == 0:
-            continue
         at = np.nonzero(bits[degree == d])[1].reshape(-1, d)
-        for i in range(d):
-            for j in range(i, d):
-                flat += np.bincount(at[:, i] * n + at[:, j], minlength=n * n)
+        cells += [at[:, i] * n + at[:, j] for i in range(d) for j in range(i, d)]
+    if not cells:
+        return
+    cells = np.concatenate(cells)
+    flat = into.reshape(-1)
+    if len(flat) <= 4 * len(cells):
+        flat += np.bincount(cells, minlength=len(flat))
+    else:
+        cell, times = np.unique(cells, return_counts=True)
+        flat[cell] += times
 
 
 def add_heavy(into: np.ndarray, bits: np.ndarray) -> None:
@@ -63,8 +68,11 @@ def pair_counts(df: DataFrame, item: str, member_of: str) -> DataFrame:
         return df.sparkSession.createDataFrame([], out).toDF("set_a", "set_b", "shared")
     n = len(sets)
     words = -(-n // 64)
-    place = F.array_position(F.lit(sets), F.col("__set")) - 1 if sets != list(range(n)) else F.col("__set")
-    rows = rows.select("__item", place.cast("int").alias("__at"))
+    if type(sets[0]) is int and sets[-1] - sets[0] == n - 1:
+        rows = rows.select("__item", (F.col("__set") - F.lit(sets[0])).cast("int").alias("__at"))
+    else:
+        places = df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(sets)], f"__set {kind}, __at int")
+        rows = rows.join(F.broadcast(places), "__set").select("__item", "__at")  # at most MAX_SETS rows
     bit = F.expr("shiftleft(1L, __at % 64)")
     held = [F.bit_or(bit if words == 1 else F.when(F.expr(f"__at div 64 = {w}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
     gathered = rows.groupBy("__item").agg(*held).drop("__item")
