@@ -37,6 +37,7 @@ from ..durable import materialise, wide_parallelism
 
 ANCHOR = 64
 SHARD_CLASSES = 256
+BATCH_PIECES = 20_000
 #: Characters fingerprinted at once; the position must fit the low bits of a winnowing key.
 SEGMENT = 1 << 19
 LOW_BITS = np.uint64((1 << 20) - 1)
@@ -229,9 +230,16 @@ def _surroundings(located: DataFrame, min_length: int, anchor: int) -> DataFrame
     """``(h, cls, tid, starts, piece)``: the surroundings of the anchors of every text, equal ones once."""
     margin = min_length - anchor
 
+    def rows(h: list[int], tid: list[bytes], starts: list[list[int]], piece: list[str]) -> pa.RecordBatch:
+        cls = [hashlib.md5(p.encode("utf-8", "surrogatepass")).digest() for p in piece]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h, pa.int64()), pa.array(cls, pa.binary()), pa.array(tid, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(piece, pa.string())],
+            names=["h", "cls", "tid", "starts", "piece"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hs, tids, starts, pieces = [], [], [], []
         for batch in batches:
-            hs, tids, starts, pieces = [], [], [], []
             for tid, text, anchors in zip(*(c.to_pylist() for c in batch.columns)):
                 at: dict[tuple[int, str], list[int]] = {}
                 for a in anchors:
@@ -242,11 +250,10 @@ def _surroundings(located: DataFrame, min_length: int, anchor: int) -> DataFrame
                     tids.append(tid)
                     starts.append(sorted(set(where)))
                     pieces.append(piece)
-            cls = [hashlib.md5(p.encode("utf-8", "surrogatepass")).digest() for p in pieces]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hs, pa.int64()), pa.array(cls, pa.binary()), pa.array(tids, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(pieces, pa.string())],
-                names=["h", "cls", "tid", "starts", "piece"],
-            )
+                if len(pieces) > BATCH_PIECES:
+                    yield rows(hs, tids, starts, pieces)
+                    hs, tids, starts, pieces = [], [], [], []
+        yield rows(hs, tids, starts, pieces)
 
     return located.select("tid", "text", "anchors").mapInArrow(run, "h bigint, cls binary, tid binary, starts array<bigint>, piece string")
 
