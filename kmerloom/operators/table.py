@@ -27,9 +27,16 @@ def prefix(bits: Column | str, suffix_residues: int = SUFFIX_RESIDUES) -> Column
 
 
 def count_vector(counts: DataFrame, samples: int) -> DataFrame:
-    """``(kmer_bits, counts)``: one array of ``samples`` entries per key, zeros where a sample lacks it."""
-    held = counts.groupBy("kmer_bits").agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", "cnt"))).alias("m"))
-    return held.select("kmer_bits", F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("counts"))
+    """``(kmer_bits, counts)``: one array of ``samples`` entries per key, zeros where a sample lacks it.
+
+    ``counts`` has at most one row per key and sample, with samples from 1 on. The few entries of a
+    key are put in order and the zeros between them repeated, so the work follows what a key holds.
+    """
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    held = counts.groupBy("kmer_bits").agg(F.sort_array(F.collect_list(F.struct("sample_idx", "cnt"))).alias("e"))
+    before = lambda i: F.coalesce(F.get("e", i - 1)["sample_idx"], F.lit(0))
+    parts = F.transform("e", lambda x, i: F.concat(zeros(x["sample_idx"] - before(i) - 1), F.array(x["cnt"])))
+    return held.select("kmer_bits", F.concat(F.flatten(parts), zeros(F.lit(samples) - F.element_at("e", -1)["sample_idx"])).alias("counts"))
 
 
 def unpack_words(words: Column, n_words: Column, samples: Column, per_word: int = 4) -> Column:
