@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
         spark.conf.set("spark.checkpoint.dir", where)
