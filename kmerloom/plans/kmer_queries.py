@@ -35,9 +35,12 @@ def sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.merge_counts(rows)
 
 
+def sample_number(spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "kct_samples").agg(F.max("sample_idx")).first()[0]
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> KmerTable:
-    samples = table(spark, sf_dir, "kct_samples").agg(F.max("sample_idx")).first()[0]
-    return KmerTable.from_samples(materialise(sample_counts(spark, sf_dir), "counts"), RESIDUES, samples)
+    return KmerTable.from_samples(materialise(sample_counts(spark, sf_dir), "counts"), RESIDUES, sample_number(spark, sf_dir))
 
 
 def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,17 +129,19 @@ def count_matrix_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def push_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two samples as a table, the third pushed in wide form."""
+    """All samples but the last as a table, the last pushed in wide form."""
+    n = sample_number(spark, sf_dir)
     counts = materialise(sample_counts(spark, sf_dir), "counts")
-    old = count_vector(counts.where("sample_idx in (1, 2)"), 2)
-    return push_vector(old, counts.where("sample_idx = 3"), 2).select("kmer_bits", text("counts").alias("counts"))
+    old = count_vector(counts.where(F.col("sample_idx") < n), n - 1)
+    return push_vector(old, counts.where(F.col("sample_idx") == n), n - 1).select("kmer_bits", text("counts").alias("counts"))
 
 
 def push_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same three samples pushed one by one in long form."""
-    counts = materialise(sample_counts(spark, sf_dir), "counts")
+    """All samples pushed one by one in long form."""
+    # In order of the sample within each file, so that a push reads the pages of its own sample only.
+    counts = materialise(sample_counts(spark, sf_dir).sortWithinPartitions("sample_idx"), "counts")
     t = KmerTable.empty(spark, RESIDUES)
-    for i in (1, 2, 3):
+    for i in range(1, sample_number(spark, sf_dir) + 1):
         t = t.push(counts.where(F.col("sample_idx") == i).select("kmer_bits", "cnt"))
     return t.wide().select("kmer_bits", text("counts").alias("counts"))
 
