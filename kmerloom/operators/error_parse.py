@@ -5,7 +5,8 @@ grammar may insert or delete quotes and delimiters (tab, semicolon, blank) at a
 line of cost zero whose values have the right types is a record; for any other line the cheapest
 edits, or the types that failed, are the reason. The accepting run of cost zero is an ordinary
 regular expression, so well-formed lines are recognised and split inside the JVM and only the others
-reach the programme, which alone decides that a line fails.
+reach the programme, which alone decides that a line fails. A transcript record has a programme of
+the same kind, over runs of its characters.
 
 Defined results: a null line or record fails with the reason ``null``; comments and blank lines of
 an annotation file are skipped; null file names and late rows do not matter; a row that was
@@ -153,38 +154,92 @@ def gtf_reason(line: str | None) -> str | None:
 
 #: Characters of a record that may be deleted as stray quotes or delimiters.
 STRAY = re.compile(r"""["'“”‘’;:,.|\-_ \t>]""")
+LETTERS = f"{SYMBOLS}{SYMBOLS.lower()}"
+TOKEN = re.compile(rf"(?s)>|(?<![{LETTERS}])[{LETTERS}]|[{LETTERS}]+|(.)\1*")
+
+# States of a record: before '>', after it, in the header, after the header's line, after a symbol of the sequence.
+OPEN, MARKED, HEADER, BARREN, SEQUENCE = range(5)
+
+
+def _fasta_step(state: int, token: str) -> tuple[int, int, str] | None:
+    """The state after a run of one kind of character, its cost and the edit; None if there is no way."""
+    if token == "\n":
+        return None if state == MARKED else (BARREN if state == HEADER else state, 0, "")
+    if state == HEADER or (state == MARKED and token[0] not in " \t"):
+        return HEADER, 0, ""
+    if state == MARKED:
+        return MARKED, len(token), "blank"
+    if state == OPEN:
+        return (MARKED, 0, "") if token == ">" else (OPEN, len(token), "delete") if STRAY.match(token) else None
+    if token[0] in LETTERS:
+        return SEQUENCE, 0, ""
+    return (state, len(token), "delete") if STRAY.match(token) else (SEQUENCE, MISSING * len(token), "symbol")
+
+
+def fasta_edits(lines: list[tuple[int, str]]) -> list[tuple[str, int, int, str]]:
+    """The edits of least total cost, ``(edit, line, place, characters)``, that make numbered lines a record; none if they are one.
+
+    A programme over runs of characters and the states of a record. A stray delimiter is deleted, and a
+    header mark, line break or record break inserted, at a cost of one; a wrong symbol, and a header or
+    sequence that is missing altogether, costs ``MISSING``. Lines are as they stand: no break is deleted.
+    """
+    best: dict[int, tuple[int, tuple | None]] = {OPEN: (0, None)}  # by state: cost, and the edits as (earlier ones, last)
+
+    def reach(into: dict, state: int, cost: int, edits: tuple | None) -> None:
+        if state not in into or cost < into[state][0]:
+            into[state] = cost, edits
+
+    def insert(start: int, state: int, cost: int, *edit) -> None:
+        if start in best:
+            reach(best, state, best[start][0] + cost, (best[start][1], edit))
+
+    for k, (n, s) in enumerate(lines):
+        tokens = [(m.start() + 1, m.group()) for m in TOKEN.finditer(s)]
+        for i, token in [(1, "\n")] * bool(k) + tokens:
+            if token != ">":
+                insert(OPEN, MARKED, 1, "mark", n, i, "")
+            insert(MARKED, HEADER, MISSING, "empty header", n, i, "")
+            insert(HEADER, BARREN, 1, "line break", n, i, "")
+            insert(BARREN, SEQUENCE, MISSING, "empty sequence", n, i, "")
+            if token == ">":
+                insert(SEQUENCE, OPEN, 1, "record break", n, i, "")
+            after: dict[int, tuple[int, tuple | None]] = {}
+            for state in (OPEN, MARKED, HEADER, SEQUENCE, BARREN):  # of equal costs the first counts: a break as early as may be
+                if state in best and (step := _fasta_step(state, token)):
+                    cost, edits = best[state]
+                    reach(after, step[0], cost + step[1], (edits, (step[2], n, i, token)) if step[2] else edits)
+            best = after
+    at = (lines[-1][0], len(lines[-1][1]) + 1)
+    insert(OPEN, MARKED, 1, "mark", *at, "")
+    insert(MARKED, HEADER, MISSING, "empty header", *at, "")
+    insert(HEADER, SEQUENCE, MISSING, "empty sequence", *at, "")
+    insert(BARREN, SEQUENCE, MISSING, "empty sequence", *at, "")
+    found, edits = [], best[SEQUENCE][1]
+    while edits:
+        edits, last = edits
+        found.append(last)
+    return found[::-1]
+
+
+def _fasta_words(edit: str, n: int, i: int, token: str) -> list[str]:
+    if edit in ("delete", "symbol"):
+        return [f"{edit} {token[0]!r} at line {n}:{j}" for j in range(i, i + len(token))]
+    where = f"line {n}" if i == 1 else f"line {n}:{i}"
+    return [{
+        "mark": f"insert '>' at {where}", "blank": f"delete blank after '>' at line {n}",
+        "line break": f"insert line break at {where}", "record break": f"insert record break before {where}",
+    }.get(edit, edit)]
 
 
 def fasta_reason(record: str | None) -> str | None:
-    """Why ``record`` is no transcript; None if it is one. Edits are independent here: each costs one."""
+    """Why ``record`` is no transcript; None if it is one."""
     if record is None:
         return "null"
     lines = [(n, s) for n, s in enumerate((x.strip(" \t\r") for x in record.split("\n")), 1) if s]
     if not lines:
         return "empty"
-    edits, errors = [], []
-    at, head = lines[0]
-    if not head.startswith(">"):
-        edits.append(f"insert '>' at line {at}")
-    elif len(head) == 1:
-        errors.append("empty header")
-    elif head[1] in " \t":
-        edits.append(f"delete blank after '>' at line {at}")
-    if len(lines) == 1:
-        errors.append("empty sequence")
-    for n, s in lines[1:]:
-        if s[0] == ">":
-            edits.append(f"insert record break before line {n}")
-            continue
-        for i, c in enumerate(s, 1):
-            if c not in "ACGTURYSWKMBDHVNacgturyswkmbdhvn":
-                if STRAY.match(c):
-                    edits.append(f"delete {c!r} at line {n}:{i}")
-                else:
-                    errors.append(f"symbol {c!r} at line {n}:{i}")
-            if len(edits) + len(errors) > 50:
-                return "; ".join([*edits, *errors, "and more"])
-    return "; ".join(edits + errors) or None
+    words = [w for e in fasta_edits(lines) for w in _fasta_words(*e)]
+    return "; ".join(words if len(words) <= 50 else [*words[:51], "and more"]) or None
 
 
 def _with_reason(rows: DataFrame, key: str, text: str, reason_of) -> DataFrame:
