@@ -139,9 +139,9 @@ def type_errors(line: str) -> list[str]:
         found.append("field 7 is no strand")
     for name, value in re.findall(r' *([^ ;"\t]+) +("[^"]*"|[^ ;"\t]+) *;?', f[8]):
         if not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name):
-            found.append(f"attribute name {name[:40]!r}")
+            found.append(f"attribute name {name!r}")
         if value[0] != '"' and not re.fullmatch("[0-9]+", value):
-            found.append(f"bare value of {name[:40]!r} is no number")
+            found.append(f"bare value of {name!r} is no number")
     return found
 
 
@@ -221,14 +221,25 @@ def fasta_edits(lines: list[tuple[int, str]]) -> list[tuple[str, int, int, str]]
     return found[::-1]
 
 
-def _fasta_words(edit: str, n: int, i: int, token: str) -> list[str]:
-    if edit in ("delete", "symbol"):
-        return [f"{edit} {token[0]!r} at line {n}:{j}" for j in range(i, i + len(token))]
-    where = f"line {n}" if i == 1 else f"line {n}:{i}"
-    return [{
-        "mark": f"insert '>' at {where}", "blank": f"delete blank after '>' at line {n}",
-        "line break": f"insert line break at {where}", "record break": f"insert record break before {where}",
-    }.get(edit, edit)]
+def _fasta_words(edits: list[tuple[str, int, int, str]]) -> list[str]:
+    """Edits in words; all places of one deletion or wrong symbol stand together, neighbours as a run."""
+    places: dict[tuple[str, str], list[list[int]]] = {}  # runs: line, first and last place
+    for edit, n, i, token in edits:
+        runs = places.setdefault((edit, token[0]) if edit in ("delete", "symbol") else (edit, f"{n}:{i}"), [])
+        if runs and token and runs[-1][0] == n and runs[-1][2] == i - 1:
+            runs[-1][2] = i + len(token) - 1
+        else:
+            runs.append([n, i, i + max(len(token), 1) - 1])
+    found = []
+    for (edit, c), runs in places.items():
+        n, i, _ = runs[0]
+        where = f"line {n}" if i == 1 else f"line {n}:{i}"
+        found.append({
+            "mark": f"insert '>' at {where}", "blank": f"delete blank after '>' at line {n}",
+            "line break": f"insert line break at {where}", "record break": f"insert record break before {where}",
+            "empty header": edit, "empty sequence": edit,
+        }.get(edit) or f"{edit} {c!r} at line " + ", ".join(f"{n}:{i}" if i == j else f"{n}:{i}-{j}" for n, i, j in runs))
+    return found
 
 
 def fasta_reason(record: str | None) -> str | None:
@@ -238,8 +249,7 @@ def fasta_reason(record: str | None) -> str | None:
     lines = [(n, s) for n, s in enumerate((x.strip(" \t\r") for x in record.split("\n")), 1) if s]
     if not lines:
         return "empty"
-    words = [w for e in fasta_edits(lines) for w in _fasta_words(*e)]
-    return "; ".join(words if len(words) <= 50 else [*words[:51], "and more"]) or None
+    return "; ".join(_fasta_words(fasta_edits(lines))) or None
 
 
 def _with_reason(rows: DataFrame, key: str, text: str, reason_of) -> DataFrame:
