@@ -8,8 +8,9 @@ whose product with its transpose counts all pairs at once. Each task adds both i
 matrix of sets, and the matrices are summed. No intersection is ever built.
 
 The counts are exact. Defined results: null identifiers and null sets are ignored, repeated rows
-count once, sets without identifiers have no row, an empty table gives no rows. The number of sets
-is bounded by ``MAX_SETS`` (a matrix of all pairs is the result); more raise a ValueError.
+count once, sets without identifiers have no row, an empty table gives no rows. One matrix holds at
+most ``MAX_SETS`` sets; ``overlaps`` cuts more into blocks and counts every pair of blocks, while
+``pair_counts``, which is one matrix, raises a ValueError.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..durable import materialise
+from ..operators.positions import with_position
 
 LIGHT = 6
 MAX_SETS = 4096
@@ -55,23 +57,32 @@ def add_heavy(into: np.ndarray, bits: np.ndarray) -> None:
         into += np.triu(x.T @ x).astype(np.int64)
 
 
+def _members(df: DataFrame, item: str, member_of: str) -> tuple[DataFrame, list]:
+    """``(__item, __set)`` without nulls, and the sets, of which one more than ``MAX_SETS`` at most."""
+    rows = df.select(F.col(item).alias("__item"), F.col(member_of).alias("__set")).where("__item is not null and __set is not null")
+    return rows, [r[0] for r in rows.select("__set").distinct().limit(MAX_SETS + 1).collect()]
+
+
 def pair_counts(df: DataFrame, item: str, member_of: str) -> DataFrame:
     """``(set_a, set_b, shared)`` with set_a <= set_b; the pairs of a set with itself hold its size."""
-    rows = df.select(F.col(item).alias("__item"), F.col(member_of).alias("__set")).where("__item is not null and __set is not null")
-    sets = [r[0] for r in rows.select("__set").distinct().limit(MAX_SETS + 1).collect()]
+    rows, sets = _members(df, item, member_of)
     if len(sets) > MAX_SETS:
         raise ValueError(f"more than {MAX_SETS} sets")
-    sets.sort()
+    return _one_matrix(rows, sorted(sets))
+
+
+def _one_matrix(rows: DataFrame, sets: list) -> DataFrame:
+    """``pair_counts`` of rows of at most ``MAX_SETS`` sets."""
     kind = rows.schema["__set"].dataType.simpleString()
     out = f"a {kind}, b {kind}, n bigint"
     if not sets:
-        return df.sparkSession.createDataFrame([], out).toDF("set_a", "set_b", "shared")
+        return rows.sparkSession.createDataFrame([], out).toDF("set_a", "set_b", "shared")
     n = len(sets)
     words = -(-n // 64)
     if type(sets[0]) is int and sets[-1] - sets[0] == n - 1:
         rows = rows.select("__item", (F.col("__set") - F.lit(sets[0])).cast("int").alias("__at"))
     else:
-        places = df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(sets)], f"__set {kind}, __at int")
+        places = rows.sparkSession.createDataFrame([(s, i) for i, s in enumerate(sets)], f"__set {kind}, __at int")
         rows = rows.join(F.broadcast(places), "__set").select("__item", "__at")  # at most MAX_SETS rows
     bit = F.expr("shiftleft(1L, __at % 64)")
     held = [F.bit_or(bit if words == 1 else F.when(F.expr(f"__at div 64 = {w}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(words)]
@@ -98,10 +109,40 @@ def pair_counts(df: DataFrame, item: str, member_of: str) -> DataFrame:
     )
 
 
+def _by_blocks(rows: DataFrame) -> DataFrame:
+    """``pair_counts`` of any number of sets: one bounded matrix for each pair of blocks of half ``MAX_SETS`` sets."""
+    size = MAX_SETS // 2
+    places = materialise(with_position(rows.select("__set").distinct(), "__set").withColumn("__block", F.expr(f"(pos - 1) div {size}")).drop("pos"), "blocks")
+    placed = materialise(rows.distinct().join(places, "__set"), "placed")
+    n = places.agg(F.max("__block")).first()[0] + 1
+    names = lambda i: [r[0] for r in places.where(F.col("__block") == i).select("__set").collect()]
+    counted = None
+    for i in range(n):
+        of_i = names(i)
+        for j in range(i + 1, n):
+            of_j = names(j)
+            pairs = _one_matrix(placed.where(F.col("__block").isin(i, j)).select("__item", "__set"), sorted(of_i + of_j))
+            # Sets are placed in order, so set_a is of block i unless both are of j. Pairs within a block count once: with the
+            # next block, those of the last block with the one before it.
+            first = F.lit(min(of_j))
+            wanted = (F.col("set_a") < first) & (F.col("set_b") >= first)
+            if j == i + 1:
+                wanted = wanted | (F.col("set_b") < first)
+            if j == n - 1 and i == n - 2:
+                wanted = wanted | (F.col("set_a") >= first)
+            part = materialise(pairs.where(wanted), "pairs")
+            counted = part if counted is None else counted.unionByName(part)
+    return counted
+
+
 def overlaps(df: DataFrame, item: str, member_of: str) -> DataFrame:
     """``(set_a, set_b, shared, size_a, size_b)`` with set_a < set_b, for pairs that share anything."""
-    pairs = materialise(pair_counts(df, item, member_of), "pairs")  # read three times, counted once
-    # At most MAX_SETS squared rows: one small table, whose sizes are its own diagonal.
-    sizes = F.broadcast(pairs.where("set_a = set_b").select(F.col("set_a").alias("__s"), F.col("shared").alias("__n")))
+    rows, sets = _members(df, item, member_of)
+    if len(sets) > MAX_SETS:
+        pairs, bounded = _by_blocks(rows), lambda x: x
+    else:
+        pairs, bounded = materialise(_one_matrix(rows, sorted(sets)), "pairs"), F.broadcast  # read three times, counted once
+    # In one matrix at most MAX_SETS squared rows: one small table, whose sizes are its own diagonal.
+    sizes = bounded(pairs.where("set_a = set_b").select(F.col("set_a").alias("__s"), F.col("shared").alias("__n")))
     with_a = pairs.where("set_a < set_b").join(sizes, F.col("set_a") == F.col("__s")).withColumnRenamed("__n", "size_a").drop("__s")
     return with_a.join(sizes, F.col("set_b") == F.col("__s")).withColumnRenamed("__n", "size_b").drop("__s")
