@@ -222,13 +222,14 @@ def gtf_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gff3_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes written in GFF3 and parsed again."""
+    """All attributes of every record written in GFF3 and parsed again; only a transcript is named by its ``ID``."""
     a = F.col("attrs")
     written = F.concat_ws(
-        "; ", F.concat(F.lit("ID=transcript:"), a["transcript_id"]), F.concat(F.lit("biotype="), a["transcript_biotype"]), F.lit("flag"),
+        "; ", F.transform(F.map_entries(a), lambda e: F.concat(e["key"], F.lit("="), e["value"])),
+        F.when(F.col("feature") == "transcript", F.concat(F.lit("ID=transcript:"), a["transcript_id"])), F.concat(F.lit("biotype="), a["transcript_biotype"]), F.lit("flag"),
         F.concat(F.lit("Parent=gene="), a["gene_id"]), F.lit("note="), F.concat(F.lit("biotype="), F.upper(a["transcript_biotype"])),
     )
-    rows = table(spark, sf_dir, "gtf_records", "rec_id", "feature", "attrs").where("feature = 'transcript'").select("rec_id", attributes.gff3_attributes(written).alias("m"))
+    rows = table(spark, sf_dir, "gtf_records", "rec_id", "feature", "attrs").select("rec_id", attributes.gff3_attributes(written).alias("m"))
     return rows.select("rec_id", biotypes.plain_transcript_id(F.col("m")["ID"]).alias("tid"), attributes.map_text("m").alias("attrs")).distinct()
 
 
