@@ -9,31 +9,73 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Folders made for local sessions that name none, by application; the setting itself cannot be set in a running session.
+_OWN: dict[str, str] = {}
+#: Intermediates written within the open ``intermediates`` blocks, innermost last.
+_OPEN: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none."""
+    """The shared folder of the session; a temporary one only where a local session names none.
+
+    What a cluster names is taken as it is: a ``file:`` path may well be a mount that all machines share.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
+        where = _OWN[app]
     return where.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is not in use; removed with the open ``intermediates`` block, else see ``remove_at_exit``."""
+    path = f"{shared_dir(spark)}/kmerloom/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder that has been written removed when the application ends."""
+    jpath, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(jpath)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Everything written by ``materialise`` within the block is removed at its end; results must have been stored by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            jpath, fs = _hadoop_path(spark, path)
+            fs.delete(jpath, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the written files.
 
-    The files are removed when the application ends.
+    The files are removed when the application ends, or with the block of ``intermediates`` they were written in.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kmerloom/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
