@@ -1,24 +1,22 @@
 """Readers for sequencing, transcript, annotation and peptide files.
 
 ``read_bio`` chooses by extension (the last one; of ``.gz`` the one before it, FASTQ if unknown).
-Text formats are scanned by Spark's own readers wherever a record is a line or can be cut at a
-separator; FASTQ, whose quality lines may start with any symbol, has a Python data source.
+All formats are scanned by Spark's own text and XML readers, so whatever Spark can read (files, folders,
+patterns, URIs, gzip) can be read here, and a large plain file is read by many tasks.
 """
 
 from __future__ import annotations
 
-import gzip
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from ..functions.attributes import gff3_attributes, gtf_attributes
+from .fastq import read_fastq
 
-FASTQ_SCHEMA = "path string, read_idx bigint, seq string"
 KINDS = {"fastq": "fastq", "fq": "fastq", "mzid": "mzid", "fa": "fasta", "fasta": "fasta", "gtf": "gtf", "gff": "gff3", "gff3": "gff3"}
 
 
@@ -32,109 +30,68 @@ def kind_of(path: str) -> str:
     return KINDS[parts[-1]]
 
 
-class FastqPartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: White space of a line's ends (fixed value).
+SPACE = " \t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+INDENTED = re.compile(rf"\n[{SPACE}]+>")
 
 
-class FastqReader(DataSourceReader):
-    """One task per file (gzip cannot be split); rows leave in Arrow batches."""
-
-    BATCH = 20_000
-
-    def __init__(self, options: dict):
-        self.paths = [p for p in options["paths"].split("\n") if p]
-        self.strict = options.get("strict", "false").lower() == "true"
-
-    def partitions(self) -> list[InputPartition]:
-        return [FastqPartition(p) for p in self.paths]
-
-    def read(self, partition: FastqPartition) -> Iterator[pa.RecordBatch]:
-        opened = gzip.open if partition.path.endswith(".gz") else open
-        reads: list[str] = []
-        n = 0
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([partition.path] * len(reads)), pa.array(range(n - len(reads), n), pa.int64()), pa.array(reads, pa.string())], names=["path", "read_idx", "seq"]
-            )
-
-        with opened(partition.path, "rt", encoding="latin-1") as f:
-            while True:
-                header = f.readline()
-                if not header.strip():
-                    if header and self.strict:
-                        raise ValueError(f"{partition.path}: blank header after read {n}")
-                    break
-                seq, plus = f.readline().strip(), f.readline()
-                f.readline()
-                if not plus.startswith("+"):
-                    raise ValueError(f"{partition.path}: no '+' line in read {n}")
-                reads.append(seq)
-                n += 1
-                if len(reads) == self.BATCH:
-                    yield batch()
-                    reads = []
-        if reads:
-            yield batch()
-
-
-class FastqSource(DataSource):
-    """``spark.read.format("kmer_fastq").option("paths", "a.fastq\\nb.fq.gz")``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "kmer_fastq"
-
-    def schema(self) -> str:
-        return FASTQ_SCHEMA
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return FastqReader(self.options)
-
-
-def read_fastq(spark: SparkSession, paths: str | list[str], *, strict: bool = False) -> DataFrame:
-    """``(path, read_idx, seq)``. A blank header line ends a file, or is an error if ``strict``; a missing '+' is an error."""
-    spark.dataSource.register(FastqSource)
-    paths = [paths] if isinstance(paths, str) else paths
-    return spark.read.format("kmer_fastq").option("paths", "\n".join(paths)).option("strict", str(strict)).load()
+def _fasta_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the pieces between ``\\n>``, which come in the order of their file."""
+    file = None
+    for batch in batches:
+        headers, sequences = [], []
+        for path, block, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            new = block == 0 and path != file
+            file = path
+            if new:  # the file's first piece keeps its own '>', or is text before any record
+                piece = "\n" + piece
+                first, *records = INDENTED.split(piece) if not piece.startswith("\n>") else ["", *INDENTED.split(piece[2:])]
+            else:
+                records = INDENTED.split(piece)
+            for record in records:
+                header, *lines = record.split("\n")
+                headers.append(header.rstrip(SPACE))
+                sequences.append("".join([x.strip(SPACE) for x in lines]))
+        yield pa.RecordBatch.from_arrays([pa.array(headers, pa.string()), pa.array(sequences, pa.string())], names=["header", "sequence"])
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(header, sequence)``. Text before the first ``>`` is skipped, lines are stripped and joined, blank lines ignored.
 
-    The file is cut at ``\\n>``, so records are found in parallel; only its first piece keeps its own
-    ``>`` or has text before it, which shows in the piece itself.
+    A file is cut at ``\\n>`` by the scan, in as many tasks as it has splits; a line that has blanks before its ``>`` starts a
+    record too. One ``>`` only belongs to the mark.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    first = F.col("value").rlike(r"\A\s*+>")
-    body = F.when(first, F.regexp_replace("value", r"\A\s*+>", "")).otherwise(F.col("value"))
-    # A later piece lost its '>' to the separator; the first one without '>' is text before any record.
-    at_start = F.expr("_metadata.file_block_start = 0")
-    rows = raw.withColumn("first", at_start & (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)).where(first | ~F.col("first") | F.col("value").isNull())
-    lines = F.split(body, r"\r\n|\n|\r", -1)
-    clean = F.filter(F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
-    return rows.select(F.btrim(F.get(lines, F.lit(0)), F.lit(" \t\r")).alias("header"), F.array_join(clean, "").alias("sequence"))
-
-
-def _annotation(spark: SparkSession, path: str | list[str], attributes) -> DataFrame:
+    pieces = spark.read.option("lineSep", "\n>").text(path)
+    located = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return located.mapInArrow(_fasta_records, "header string, sequence string")
+
+
+def _annotation(spark: SparkSession, path: str | list[str], attributes, strict: bool) -> DataFrame:
     f = F.split("value", "\t", -1)
     at = lambda n: F.get("f", F.lit(n - 1))
+
+    def number(n: int):
+        parsed = at(n).try_cast("long")
+        return F.when(parsed.isNull(), F.raise_error(F.concat(F.lit(f"field {n} is no number: "), F.col("value")))).otherwise(parsed) if strict else parsed
+
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.btrim("value") != "")).withColumn("f", f).where(F.size("f") >= 9)
     return rows.select(
-        at(1).alias("seqname"), at(3).alias("feature"), at(4).try_cast("long").alias("start"), at(5).try_cast("long").alias("stop"), at(7).alias("strand"),
+        at(1).alias("seqname"), at(3).alias("feature"), number(4).alias("start"), number(5).alias("stop"), at(7).alias("strand"),
         attributes(F.rtrim(at(9), F.lit("\r"))).alias("attrs"),
     )
 
 
-def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Annotation records; comments, blank lines and lines of fewer than nine fields are skipped."""
-    return _annotation(spark, path, gtf_attributes)
+def read_gtf(spark: SparkSession, path: str | list[str], *, strict: bool = True) -> DataFrame:
+    """Annotation records; comments, blank lines and lines of fewer than nine fields are skipped.
+
+    A start or stop that is no number is an error; without ``strict`` it is null. ``load_gtf`` reports such lines instead.
+    """
+    return _annotation(spark, path, gtf_attributes, strict)
 
 
-def read_gff3(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_gff3(spark: SparkSession, path: str | list[str], *, strict: bool = True) -> DataFrame:
     """As ``read_gtf`` with GFF3 attributes; an embedded FASTA part has no nine fields and falls away."""
-    return _annotation(spark, path, gff3_attributes)
+    return _annotation(spark, path, gff3_attributes, strict)
 
 
 def read_mzid(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -152,11 +109,13 @@ def read_bio(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transcript_biotypes(spark: SparkSession, path: str, *, strip_version: bool = False) -> DataFrame:
-    """``(tid, biotype)`` of a GTF or GFF3 file, the last line of a transcript counting; other formats are an error."""
+    """``(tid, biotype)`` of a GTF or GFF3 file, the last line of a transcript counting (of several files, by their names); other formats are an error."""
     from ..operators.genomic_index import transcript_biotypes
 
     kind = kind_of(path)
     if kind not in ("gtf", "gff3"):
         raise ValueError(f"{path} is no annotation file")
-    rows = READERS[kind](spark, path).withColumn("line_no", F.monotonically_increasing_id())  # ascends within a file
+    # Files in the order of their names, and within a file by line: ids ascend within a split, and splits with their start.
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = READERS[kind](spark, path).withColumn("line_no", place)
     return transcript_biotypes(rows, kind=kind, order="line_no", strip_version=strip_version)

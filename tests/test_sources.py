@@ -1,6 +1,7 @@
 """File readers and streaming ingestion."""
 
 import gzip
+import random
 
 import pytest
 
@@ -103,3 +104,105 @@ def test_stream_of_reads(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(source)
     ingest.ingest_reads(stream, out, 6, checkpoint=str(tmp_path / "c"))
     assert [tuple(r) for r in ingest.ingested_reads(spark, out).collect()] == [(384, 1, 2)]
+
+
+def fasta_by_hand(text):
+    """Records of one file, line by line."""
+    records = []
+    for line in text.split("\n"):
+        line = line.strip()
+        if line.startswith(">"):
+            records.append([line[1:], ""])
+        elif line and records:
+            records[-1][1] += line
+    return sorted(map(tuple, records))
+
+
+def test_fasta_indented_and_doubled_marks(spark, tmp_path):
+    text = "junk\n  >B1\nTT\n  >B2\nCC\n>>C2\nGG\n> D x \n\tAC>\n\n \t>E\r\nA\r\n"
+    got = sorted((r.header, r.sequence) for r in files.read_fasta(spark, write(tmp_path / "a.fa", text)).collect())
+    assert got == fasta_by_hand(text) and ("B1", "TT") in got and (">C2", "GG") in got and (" D x", "AC>") in got
+    assert [tuple(r) for r in files.read_fasta(spark, write(tmp_path / "b.fa", ">>C2\nG")).collect()] == [(">C2", "G")]
+    assert files.read_fasta(spark, write(tmp_path / "c.fa", "no record\nat all\n")).count() == 0
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "211")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_fasta_of_many_splits_and_files(spark, tmp_path, tiny_splits):
+    rng = random.Random(2)
+    whole = []
+    for i in range(3):
+        text = "junk\n" * i + "".join(rng.choice([">", " >", ">>", ">"]) + f"T{i}.{j} x\n" + "ACG\n" * rng.randrange(40) for j in range(30))
+        write(tmp_path / f"{i}.fa", text)
+        whole += fasta_by_hand(text)
+    df = files.read_fasta(spark, f"file://{tmp_path}/*.fa")
+    assert df.rdd.getNumPartitions() > 10
+    assert sorted((r.header, r.sequence) for r in df.collect()) == sorted(whole)
+
+
+def fastq_by_hand(text):
+    lines, reads = text.split("\n"), []
+    if lines[-1] == "":
+        lines.pop()
+    for i in range(0, len(lines), 4):
+        if not lines[i].strip():
+            break
+        reads.append(lines[i + 1].strip())
+    return reads
+
+
+@pytest.mark.parametrize("stop", [None, 0, 37])
+def test_fastq_of_many_splits(spark, tmp_path, tiny_splits, stop):
+    """Quality lines like headers, lines longer than a split, a blank header in the middle; one file by name, all by pattern, folder and URI."""
+    rng = random.Random(3)
+    want = {}
+    for name in ("a.fq", "b.fastq"):
+        reads = ["".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 30, 400]))) for _ in range(60)]
+        text = "".join(("\n" if i == stop else f"@r{i}\n") + f"{r}\n+\n{'@' * len(r)}\n" for i, r in enumerate(reads))
+        write(tmp_path / name, text[:-1] if name == "a.fq" else text)
+        want[name] = fastq_by_hand(text)
+    single = str(tmp_path / "a.fq")
+    df = files.read_fastq(spark, single)
+    assert df.rdd.getNumPartitions() > 10
+    assert sorted(map(tuple, df.collect())) == [(single, i, r) for i, r in enumerate(want["a.fq"])]
+    for path in (str(tmp_path), f"file://{tmp_path}/*", [f"file://{tmp_path}/a.fq", str(tmp_path / "b.fastq")]):
+        got = files.read_fastq(spark, path).collect()
+        assert sorted((r.path.rsplit("/", 1)[1], r.read_idx, r.seq) for r in got) == sorted((n, i, r) for n, x in want.items() for i, r in enumerate(x))
+    if stop is not None:
+        with pytest.raises(Exception, match=f"blank header after read {stop}"):
+            files.read_fastq(spark, single, strict=True).collect()
+
+
+def test_fastq_errors_across_splits(spark, tmp_path, tiny_splits):
+    text = "".join(f"@r{i}\n{'ACGT' * 30}\n{'-' if i == 11 else '+'}\n{'I' * 120}\n" for i in range(20))
+    with pytest.raises(Exception, match="no '\\+' line in read 11"):
+        files.read_fastq(spark, write(tmp_path / "a.fq", text)).collect()
+
+
+def test_fastq_last_record_without_quality(spark, tmp_path):
+    assert [r.seq for r in files.read_fastq(spark, write(tmp_path / "a.fq", "@r\nAC\n+\nII\n@s\nGG\n+")).collect()] == ["AC", "GG"]
+    with pytest.raises(Exception, match="no '\\+' line in read 1"):
+        files.read_fastq(spark, write(tmp_path / "b.fq.gz", "@r\nAC\n+\nII\n@s\nGG\n", True)).collect()
+
+
+def test_bad_numbers_of_an_annotation(spark, tmp_path):
+    path = write(tmp_path / "a.gtf", '1\ts\tgene\tx1\t9\t.\t+\t.\tgene_id "G";\n')
+    with pytest.raises(Exception, match="field 4 is no number"):
+        files.read_gtf(spark, path).collect()
+    assert files.read_gtf(spark, path, strict=False).first().start is None
+
+
+def test_last_line_wins_over_files_by_name(spark, tmp_path):
+    line = '1\ts\ttranscript\t1\t9\t.\t+\t.\ttranscript_id "T"; transcript_biotype "{}"\n'
+    (tmp_path / "x.gtf").mkdir()
+    write(tmp_path / "x.gtf" / "part-0", line.format("a") + line.format("b") + line.format("c") * 50)
+    write(tmp_path / "x.gtf" / "part-1", line.format("d"))
+    assert files.read_transcript_biotypes(spark, str(tmp_path / "x.gtf")).first().biotype == "d"
