@@ -114,10 +114,19 @@ def residue_code(bits: Column, i: int, residues: int) -> Column:
 
 
 def unpack(bits: Column, residues: int) -> Column:
-    """The k-mer of a packed key; null for one that holds codes outside the alphabet or further bits."""
-    digits = F.lpad(F.conv(bits.cast("string"), 10, 32), residues, "0")
-    fits = (bits >= 0) & (bits < F.lit(1 << (BITS_PER_RESIDUE * residues))) & (F.translate(digits, _DIGITS, "") == "")
-    return F.when(fits, F.translate(digits, _DIGITS, AA28))
+    """The k-mer of a packed key; null for one that holds codes outside the alphabet or further bits.
+
+    Two residues at a time are looked up in an array made from the alphabet.
+    """
+    known = [*AA28, *[None] * ((1 << BITS_PER_RESIDUE) - len(AA28))]
+    pairs = F.array(*[F.lit(a + b if a and b else None) for a in known for b in known])
+    width = 2 * BITS_PER_RESIDUE
+    at = lambda i: F.shiftright(bits, width * i).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+    parts = [F.get(pairs, at(i)) for i in reversed(range(residues // 2))]
+    if residues % 2:
+        parts.insert(0, decode5(F.shiftright(bits, width * (residues // 2))))
+    fits = (bits >= 0) & (bits < F.lit(1 << (BITS_PER_RESIDUE * residues)))
+    return F.when(fits, F.concat(*parts))
 
 
 def binary_string(bits: Column) -> Column:

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import CODON64
-from ..functions.kmers import pack, residues_of, translated_kmers, unencodable_read, usable_read
+from ..functions.kmers import residues_of, unencodable_read, unpack, usable_read
+from ..functions.vectorised import grouped_kmers
 
 
 def count_kmers(reads: DataFrame, k: int, *, seq: str = "seq", sample: str = "sample_idx", code: str = CODON64) -> DataFrame:
     """``(sample_idx, kmer_bits, kmer, cnt)``.
 
-    Grouping is on the k-mer's text with partial sums before the one shuffle; the key is packed once
-    per group afterwards.
+    Packed keys are counted per Arrow batch and again before the one shuffle, which carries numbers only;
+    a key is written out as text once per group afterwards.
     """
-    counted = translated_kmers(reads, seq, k, sample, code=code).groupBy(F.col(sample).alias("sample_idx"), "kmer").agg(F.count(F.lit(1)).alias("cnt"))
-    return counted.select("sample_idx", pack(F.col("kmer"), residues_of(k)).alias("kmer_bits"), "kmer", "cnt")
+    parts = grouped_kmers(reads, seq, k, sample, code=code)
+    counted = parts.groupBy(F.col(sample).alias("sample_idx"), "kmer_bits").agg(F.sum("n").alias("cnt"))
+    return counted.select("sample_idx", "kmer_bits", unpack(F.col("kmer_bits"), residues_of(k)).alias("kmer"), "cnt")
 
 
 def merge_counts(parts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import INTERGENIC, MAX_BIOTYPES
 from ..functions.biotypes import bit_of, header_biotype, header_transcript, plain_transcript_id
-from ..functions.kmers import pack, residues_of, translated_kmers
+from ..functions.vectorised import grouped_kmers
 
 
 def transcript_biotypes(records: DataFrame, *, kind: str = "gtf", order: str = "rec_id", strip_version: bool = False) -> DataFrame:
@@ -47,5 +47,4 @@ def build_genomic_index(transcripts: DataFrame, annotation: DataFrame, k: int, n
     """``(kmer_bits, biotype_mask)``: the bits of all usable transcripts that hold the k-mer, or-ed."""
     names = names or biotype_names(annotation)
     bits = resolve_bits(transcripts.select("header", "sequence"), annotation, names)
-    masks = translated_kmers(bits, "sequence", k, "bit").groupBy("kmer").agg(F.bit_or("bit").alias("biotype_mask"))
-    return masks.select(pack(F.col("kmer"), residues_of(k)).alias("kmer_bits"), "biotype_mask")
+    return grouped_kmers(bits, "sequence", k, "bit").groupBy("kmer_bits").agg(F.bit_or("bit").alias("biotype_mask"))

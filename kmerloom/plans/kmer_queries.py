@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import AA28, CODON64
 from ..durable import materialise, shared_dir, table, wide_parallelism
-from ..functions import attributes, biotypes, kmers
+from ..functions import attributes, biotypes, kmers, vectorised
 from ..operators import counting, genomic_index, metrics, peptides, positions
 from ..operators.table import KmerTable, count_vector, push_vector, unpack_words
 from ..streaming import ingest
@@ -75,9 +75,7 @@ def read_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = reads(spark, sf_dir).where(kmers.usable_read(F.col("seq"), K))
-    frames = F.array(*[F.struct(F.lit(f).alias("frame"), kmers.translate_frame(kmers.to_dna(F.col("seq")), f).alias("peptide")) for f in range(3)])
-    return usable.select("rec_id", F.explode(frames).alias("x")).select("rec_id", "x.frame", "x.peptide")
+    return vectorised.frame_peptides(reads(spark, sf_dir), "seq", K, "rec_id")
 
 
 def kmerize_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +85,8 @@ def kmerize_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frame_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop-free pieces of the first frame's peptides, numbered."""
-    usable = reads(spark, sf_dir).where(kmers.usable_read(F.col("seq"), K))
-    pieces = usable.select("rec_id", F.posexplode(F.split(kmers.translate_frame(kmers.to_dna(F.col("seq")), 0), r"\*", -1)).alias("i", "seq"))
+    first = vectorised.frame_peptides(reads(spark, sf_dir), "seq", K, "rec_id").where("frame = 0")
+    pieces = first.select("rec_id", F.posexplode(F.split("peptide", r"\*", -1)).alias("i", "seq"))
     return pieces.where(F.length("seq") >= RESIDUES).select(F.concat_ws(":", "rec_id", "i").alias("peptide_id"), "seq")
 
 
@@ -112,9 +110,8 @@ def kmer_count_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmer_count_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial counts per chunk of reads, then their sum."""
     chunked = reads(spark, sf_dir).withColumn("chunk", F.expr("rec_id div 100"))
-    part = kmers.translated_kmers(chunked, "seq", K, "sample_idx", "chunk").groupBy("sample_idx", "chunk", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
-    merged = counting.merge_counts(part.withColumn("kmer_bits", kmers.pack(F.col("kmer"), RESIDUES)))
-    return merged.select("sample_idx", "kmer_bits", "cnt")
+    part = vectorised.grouped_kmers(chunked, "seq", K, "sample_idx", "chunk").groupBy("sample_idx", "chunk", "kmer_bits").agg(F.sum("n").alias("cnt"))
+    return counting.merge_counts(part).select("sample_idx", "kmer_bits", "cnt")
 
 
 # tables
