@@ -41,10 +41,10 @@ def component_sizes(table) -> DataFrame:
 
 
 def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """``(layer, files, bytes)`` of a written table."""
+    """``(layer, files, bytes)`` of the data of a written table; the index of positions is not counted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
     layer = F.regexp_extract("path", r"/(counts|masks|wide|keys)/", 1)
-    return files.groupBy(layer.alias("layer")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return files.where(layer != "").groupBy(layer.alias("layer")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
 def load_history(path: str) -> list[dict]:

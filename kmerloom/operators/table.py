@@ -64,6 +64,8 @@ class KmerTable:
     samples: int = 0
     names: list[str] = field(default_factory=lambda: [INTERGENIC])
     bare: DataFrame | None = None  # keys of a table without layers
+    stored_positions: DataFrame | None = None  # (kmer_bits, pos) that were written with the table
+    _made: dict = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def __post_init__(self):
         if not 0 < self.residues <= MAX_RESIDUES:
@@ -107,6 +109,18 @@ class KmerTable:
     def length(self) -> int:
         return self.keys.count()
 
+    @property
+    def positions(self) -> DataFrame:
+        """``(kmer_bits, pos)``, sorted by key within range-partitioned files: made once for the table, or read where it was stored.
+
+        The files' statistics let a lookup of one key, or of a prefix, read only the row groups that can hold it.
+        """
+        if self.stored_positions is not None:
+            return self.stored_positions
+        if "positions" not in self._made:
+            self._made["positions"] = with_position(self.keys, "kmer_bits")
+        return self._made["positions"]
+
     # change
 
     def push(self, sample: DataFrame) -> KmerTable:
@@ -115,7 +129,7 @@ class KmerTable:
             raise ValueError("a table without counts takes no samples")
         n = self.samples + 1
         new = sample.where("cnt > 0").select("kmer_bits", F.lit(n).alias("sample_idx"), F.col("cnt").cast("long").alias("cnt"))
-        return replace(self, counts=new if self.counts is None else self.counts.unionByName(new), samples=n)
+        return replace(self, counts=new if self.counts is None else self.counts.unionByName(new), samples=n, stored_positions=None)
 
     def add_biotypes(self, index: KmerTable) -> KmerTable:
         """Left join with a genomic index: keys it lacks are intergenic; its names are kept."""
@@ -154,37 +168,52 @@ class KmerTable:
 
     def slice(self, first: int, last: int) -> DataFrame:
         """Rows at positions ``first`` to ``last``; only keys are sorted and placed."""
-        return self._of(materialise(between_positions(with_position(self.keys, "kmer_bits"), first, last), "placed"))
+        return self._of(materialise(between_positions(self.positions, first, last), "placed"))
 
     def take(self, positions: list[int]) -> DataFrame:
         """Rows at the given positions, in their order and as often as they are named: adds ``ordinal``."""
-        placed = with_position(self.keys, "kmer_bits").where(F.col("pos").isin(sorted(set(positions))))
+        placed = self.positions.where(F.col("pos").isin(sorted(set(positions))))
         return at_positions(self._of(materialise(placed, "placed")), positions)
 
     def lookup(self, probes: DataFrame) -> DataFrame:
         """``probes`` (kmer_bits) with ``pos``, 0 where the table lacks the key. The keys are unique, so no probe is repeated."""
-        positions = with_position(self.keys, "kmer_bits")
-        return probes.join(positions, "kmer_bits", "left").fillna({"pos": 0})
+        return probes.join(self.positions, "kmer_bits", "left").fillna({"pos": 0})
 
     def find(self, bits: int) -> int:
-        """Position of one key, or 0: the keys below it are counted, which reads one column and needs no sort."""
-        row = self.keys.where(F.col("kmer_bits") <= bits).agg(F.count(F.lit(1)), F.max("kmer_bits")).first()
-        return row[0] if row[1] == bits else 0
+        """Position of one key, or 0: the key is pushed down to the sorted positions."""
+        row = self.positions.where(F.col("kmer_bits") == bits).select("pos").first()
+        return row[0] if row else 0
+
+    def find_all(self, keys: list[int]) -> dict[int, int]:
+        """Positions of a few keys, 0 for those the table lacks, by one pruned scan."""
+        rows = self.positions.where(F.col("kmer_bits").isin(sorted(set(keys)))).collect()
+        return dict.fromkeys(keys, 0) | {r.kmer_bits: r.pos for r in rows}
+
+    def with_prefix(self, value: int, suffix_residues: int = SUFFIX_RESIDUES) -> DataFrame:
+        """``(kmer_bits, pos)`` of the keys behind one prefix, read from their range of the positions."""
+        low = value << (BITS_PER_RESIDUE * suffix_residues)
+        return self.positions.where(F.col("kmer_bits").between(low, low + (1 << (BITS_PER_RESIDUE * suffix_residues)) - 1)).select("kmer_bits", "pos")
 
     def prefix_index(self, suffix_residues: int = SUFFIX_RESIDUES) -> DataFrame:
         """``(prefix, first_pos, last_pos)`` of the keys that share a prefix."""
-        rows = with_position(self.keys, "kmer_bits")
-        return rows.groupBy(prefix("kmer_bits", suffix_residues).alias("prefix")).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+        return self.positions.groupBy(prefix("kmer_bits", suffix_residues).alias("prefix")).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
     # vectors as a dictionary
 
     def collapse(self) -> tuple[DataFrame, DataFrame]:
-        """``(vector_id, counts)`` of the distinct vectors, ids in their order, and ``(kmer_bits, vector_id)``."""
+        """``(vector_id, counts, n_keys)`` of the distinct vectors, ids in their order, and ``(kmer_bits, vector_id)``.
+
+        Vectors are built once; keys find theirs by two hashes of 64 bits, and the vectors are compared only where these agree.
+        """
         if self.counts is None:
             raise ValueError("a table without counts has no vectors")
-        rows = count_vector(self.counts, self.samples)
-        dictionary = with_position(rows.select("counts").distinct(), "counts", name="vector_id")
-        return dictionary, rows.join(dictionary, "counts").select("kmer_bits", "vector_id")
+        hashes = [F.xxhash64("counts").alias("h1"), F.xxhash64("counts", F.lit(1)).alias("h2")]
+        rows = materialise(count_vector(self.counts, self.samples).select("kmer_bits", "counts", *hashes), "vectors")
+        distinct = rows.groupBy("counts").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.count(F.lit(1)).alias("n_keys"))
+        dictionary = materialise(with_position(distinct, "counts", name="vector_id"), "dictionary")
+        ids = dictionary.select("h1", "h2", F.col("counts").alias("__of"), "vector_id")
+        same = (rows["h1"] == ids["h1"]) & (rows["h2"] == ids["h2"]) & (rows["counts"] == ids["__of"])
+        return dictionary.select("vector_id", "counts", "n_keys"), rows.join(ids, same).select("kmer_bits", "vector_id")
 
     def shared_vectors(self) -> DataFrame:
         """``(counts, n_keys)`` of the vectors that more than one key has."""

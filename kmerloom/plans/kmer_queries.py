@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import AA28, CODON64
-from ..durable import materialise, shared_dir, table, wide_parallelism
+from ..durable import materialise, shared_dir, spread, table, unique_rows
 from ..functions import attributes, biotypes, kmers, vectorised
 from ..operators import counting, genomic_index, metrics, peptides, positions
 from ..operators.table import KmerTable, count_vector, push_vector, unpack_words
@@ -25,7 +25,7 @@ def text(array) -> F.Column:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript sequences read as reads; the sample is the month of loading."""
-    rows = table(spark, sf_dir, "fasta_records", "rec_id", "sequence", "loaded_at").repartition(wide_parallelism(spark), "rec_id").distinct()
+    rows = unique_rows(spread(table(spark, sf_dir, "fasta_records", "rec_id", "sequence", "loaded_at")), "rec_id")
     return rows.select("rec_id", F.month("loaded_at").alias("sample_idx"), F.col("sequence").alias("seq"))
 
 
@@ -49,7 +49,7 @@ def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "fasta_records", "rec_id", "header", "sequence").repartition(wide_parallelism(spark), "rec_id").distinct()
+    return unique_rows(spread(table(spark, sf_dir, "fasta_records", "rec_id", "header", "sequence")), "rec_id")
 
 
 def index(spark: SparkSession, sf_dir: str) -> KmerTable:
@@ -64,7 +64,7 @@ def annotated_reads(spark: SparkSession, sf_dir: str) -> KmerTable:
 
 
 def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "counts_layer").distinct()
+    return unique_rows(table(spark, sf_dir, "counts_layer"), "kmer_bits")
 
 
 # reads and k-mers
@@ -149,7 +149,7 @@ def count_vectors_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions.with_position(cohort(spark, sf_dir).keys, "kmer_bits")
+    return cohort(spark, sf_dir).positions.select("kmer_bits", "pos")
 
 
 def kmer_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +169,8 @@ def lookup_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least and the greatest key, and one beyond, looked up one by one."""
     t = cohort(spark, sf_dir)
-    low, high = t.keys.agg(F.min("kmer_bits"), F.max("kmer_bits")).first()
-    return spark.createDataFrame([(b, t.find(b)) for b in (low, high, high + 1)], "kmer_bits bigint, pos bigint")
+    low, high = t.positions.agg(F.min("kmer_bits"), F.max("kmer_bits")).first()
+    return spark.createDataFrame(list(t.find_all([low, high, high + 1]).items()), "kmer_bits bigint, pos bigint")
 
 
 def stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,9 +201,20 @@ def key_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collapse_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct vector with the number of keys that refer to it."""
-    dictionary, refs = cohort(spark, sf_dir).collapse()
-    used = refs.groupBy("vector_id").agg(F.count(F.lit(1)).alias("n_keys"))
-    return dictionary.join(used, "vector_id").select("vector_id", text("counts").alias("counts"), "n_keys")
+    dictionary, _ = cohort(spark, sf_dir).collapse()
+    return dictionary.select("vector_id", text("counts").alias("counts"), "n_keys")
+
+
+def collapse_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key with the id of its vector."""
+    return cohort(spark, sf_dir).collapse()[1]
+
+
+def prefix_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that share the prefix of the greatest one, from their range of the positions."""
+    t = cohort(spark, sf_dir)
+    high = t.positions.agg(F.max("kmer_bits")).first()[0]
+    return t.with_prefix(high >> 20) if high is not None else t.positions.limit(0)
 
 
 def shared_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +323,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OWN = (
     read_filter, frame_translate, kmerize_dna, kmerize_aa, encode5_decode5, kmer_count_by_sample, kmer_count_two_level, sample_count_table,
     count_matrix_wide, push_full_outer, push_samples, count_vectors_packed, kmer_position, kmer_slice, kmer_gather, lookup_batch, point_lookup, prefix_index, stored_counts, twobit_codes,
-    csr_offsets, key_deltas, collapse_dictionary, shared_vectors, gtf_attrs, gff3_attrs, fasta_header_fields, tid_biotype_last_wins, biotype_bits,
+    csr_offsets, key_deltas, collapse_dictionary, collapse_references, prefix_bucket, shared_vectors, gtf_attrs, gff3_attrs, fasta_header_fields, tid_biotype_last_wins, biotype_bits,
     genomic_index_masks, add_biotypes, annotated_matrix, biotype_names, has_biotype, mask_pool, intergenic_tally, peptide_hits, sample_totals,
     cardinality_growth, elapsed_times, component_sizes, stream_ingest,
 )
@@ -396,6 +407,8 @@ ORACLE = {
     "csr_offsets": f"WITH {_PACKED} SELECT kmer_bits, coalesce(n_cids, 0)::BIGINT AS n, (1 + coalesce(sum(coalesce(n_cids, 0)) OVER (ORDER BY kmer_bits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first FROM packed WHERE kmer_bits IS NOT NULL",
     "key_deltas": f"WITH {_COUNTS} SELECT kmer_bits, kmer_bits - lag(kmer_bits) OVER (ORDER BY kmer_bits) AS delta FROM keys",
     "collapse_dictionary": f"WITH {_COUNTS}, {_WIDE}, d AS (SELECT counts, count(*) AS n_keys FROM vectors GROUP BY 1) SELECT row_number() OVER (ORDER BY counts) AS vector_id, array_to_string(counts, ',') AS counts, n_keys FROM d",
+    "collapse_references": f"WITH {_COUNTS}, {_WIDE} SELECT kmer_bits, dense_rank() OVER (ORDER BY counts) AS vector_id FROM vectors",
+    "prefix_bucket": f"WITH {_COUNTS} SELECT kmer_bits, pos FROM placed WHERE kmer_bits >> 20 = (SELECT max(kmer_bits) >> 20 FROM keys)",
     "shared_vectors": f"WITH {_COUNTS}, {_WIDE} SELECT array_to_string(counts, ',') AS counts, count(*) AS n_keys FROM vectors GROUP BY vectors.counts HAVING count(*) > 1",
     "gtf_attrs": r"""WITH f AS (SELECT raw_id, string_split(line, chr(9)) AS f FROM gtf_raw WHERE NOT starts_with(line, '#')),
         p AS (SELECT raw_id, regexp_extract_all(f[9], '(\w+)\s+"([^"]+)"', 1) AS k, regexp_extract_all(f[9], '(\w+)\s+"([^"]+)"', 2) AS v FROM f WHERE len(f) >= 9)

@@ -30,17 +30,23 @@ def write_table(table: KmerTable, path: str) -> None:
     """Write all layers a table has."""
     spark = (table.counts if table.counts is not None else table.keys).sparkSession
     if table.counts is not None:
-        spread = table.counts.repartition("sample_idx", F.pmod(F.xxhash64("kmer_bits"), F.lit(8)))
+        # Range partitions by sample and key: a sample is written by as many tasks as its rows need, each with a range of its keys.
+        spread = table.counts.repartitionByRange("sample_idx", "kmer_bits")
         spread.sortWithinPartitions("sample_idx", "kmer_bits").write.mode("overwrite").partitionBy("sample_idx").parquet(f"{path}/counts")
     if table.masks is not None:
         _write_sorted(table.masks, table.residues, f"{path}/masks")
     if not table.layers_mask:
         _write_sorted(table.keys, table.residues, f"{path}/keys")
+    _write_sorted(table.positions.select("kmer_bits", "pos"), table.residues, f"{path}/positions")
     _write_meta(spark, path, table)
 
 
 def _write_meta(spark: SparkSession, path: str, table: KmerTable) -> None:
-    meta = {"format_version": FORMAT_VERSION, "residues": table.residues, "alphabet": AA28, "layers_mask": table.layers_mask, "n_kmers": table.length(), "samples": table.samples, "biotypes": table.names}
+    meta = {"format_version": FORMAT_VERSION, "residues": table.residues, "alphabet": AA28, "layers_mask": table.layers_mask, "n_kmers": table.length(), "samples": table.samples, "biotypes": table.names, "positions": True}
+    _store_meta(spark, path, meta)
+
+
+def _store_meta(spark: SparkSession, path: str, meta: dict) -> None:
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -56,11 +62,19 @@ def load_table(spark: SparkSession, path: str) -> KmerTable:
     counts = spark.read.schema("kmer_bits bigint, cnt bigint, sample_idx int").parquet(f"{path}/counts").select("kmer_bits", "sample_idx", "cnt") if mask & 1 else None
     masks = spark.read.parquet(f"{path}/masks").select("kmer_bits", "biotype_mask") if mask & 2 else None
     bare = spark.read.parquet(f"{path}/keys").select("kmer_bits") if not mask else None
-    return KmerTable(meta["residues"], counts, masks, meta["samples"], meta["biotypes"], bare)
+    placed = spark.read.parquet(f"{path}/positions").select("kmer_bits", "pos") if meta.get("positions") else None
+    return KmerTable(meta["residues"], counts, masks, meta["samples"], meta["biotypes"], bare, placed)
 
 
 def write_sample(sample: DataFrame, path: str, sample_idx: int) -> None:
-    """Write the counts ``(kmer_bits, cnt)`` of one sample; the same sample again replaces itself."""
+    """Write the counts ``(kmer_bits, cnt)`` of one sample; the same sample again replaces itself.
+
+    The stored positions no longer hold then and are forgotten: the table places its keys anew when it is asked, or written again.
+    """
+    spark = sample.sparkSession
+    meta = read_meta(spark, path)
+    if meta.pop("positions", None):
+        _store_meta(spark, path, meta)
     sample.where("cnt > 0").select("kmer_bits", "cnt").write.mode("overwrite").parquet(f"{path}/counts/sample_idx={sample_idx}")
 
 

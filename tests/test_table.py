@@ -173,3 +173,28 @@ def test_history(tmp_path):
 def test_deltas(spark):
     df = spark.createDataFrame([(5,), (1,), (20,), (6,)], "kmer_bits bigint")
     assert [(r.kmer_bits, r.delta) for r in positions.key_deltas(df).orderBy("kmer_bits").collect()] == [(1, None), (5, 4), (6, 1), (20, 14)]
+
+
+def test_positions_are_stored_and_pruned(spark, tmp_path):
+    t = KmerTable.from_counts(sample(spark, {k * 1000: 1 for k in range(1, 300)}), 4)
+    assert t.positions is t.positions and t.find_all([1000, 5, 299_000]) == {1000: 1, 5: 0, 299_000: 299}
+    assert [r.kmer_bits for r in t.with_prefix(64, 2).orderBy("pos").collect()] == [66000]
+    store.write_table(t, str(tmp_path))
+    back = store.load_table(spark, str(tmp_path))
+    assert back.stored_positions is not None and back.find(7000) == 7 and back.find(7001) == 0
+    plan = back.positions.where("kmer_bits = 7000")._jdf.queryExecution().toString()
+    assert "EqualTo(kmer_bits,7000)" in plan
+    assert back.push(sample(spark, {1: 1})).find(7000) == 8
+    store.write_sample(sample(spark, {1: 1}), str(tmp_path), 2)
+    assert store.load_table(spark, str(tmp_path)).stored_positions is None
+
+
+def test_collapse_of_many_keys(spark):
+    counts = spark.createDataFrame([(k, s, k % 3 + s) for k in range(60) for s in (1, 2) if (k + s) % 5], "kmer_bits bigint, sample_idx int, cnt bigint")
+    t = KmerTable.from_samples(counts, 4, 2)
+    want = vectors(t)
+    dictionary, refs = t.collapse()
+    by_id = {r.vector_id: (r.counts, r.n_keys) for r in dictionary.collect()}
+    assert [by_id[i][0] for i in sorted(by_id)] == sorted(map(list, {tuple(v) for v in want.values()}))
+    assert {r.kmer_bits: by_id[r.vector_id][0] for r in refs.collect()} == want
+    assert {i: n for i, (_, n) in by_id.items()} == {i: sum(v == c for v in want.values()) for i, (c, _) in by_id.items()}
