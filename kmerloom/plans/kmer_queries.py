@@ -357,8 +357,6 @@ _COUNTS = """once AS (SELECT DISTINCT * FROM sample_counts WHERE kmer_bits IS NO
 _UNPACK = lambda bits: f"array_to_string(list_transform(range(1, {RESIDUES + 1}), lambda i: substr('{AA28}', (({bits} >> (5 * ({RESIDUES} - i))::INT) & 31)::INT + 1, 1)), '')"
 _WIDE = """held AS (SELECT kmer_bits, map_from_entries(list({'k': sample_idx, 'v': cnt})) AS m FROM counts GROUP BY 1),
   vectors AS (SELECT kmer_bits, list_transform(range(1, n + 1), lambda i: coalesce(m[i::INT], 0)) AS counts FROM held, n)"""
-_THREE = """SELECT kmer_bits, concat_ws(',', sum(CASE WHEN sample_idx = 1 THEN cnt ELSE 0 END), sum(CASE WHEN sample_idx = 2 THEN cnt ELSE 0 END),
-    sum(CASE WHEN sample_idx = 3 THEN cnt ELSE 0 END)) AS counts FROM counts WHERE sample_idx IN (1, 2, 3) GROUP BY 1"""
 _PACKED = "packed AS (SELECT DISTINCT * FROM counts_layer)"
 _ANNOTATION = """anno AS (SELECT attrs['transcript_id'] AS tid, arg_max(attrs['transcript_biotype'], rec_id) AS biotype FROM gtf_records
     WHERE deleted_at IS NULL AND feature = 'transcript' AND attrs['transcript_id'] IS NOT NULL AND attrs['transcript_biotype'] IS NOT NULL GROUP BY 1),
@@ -392,8 +390,8 @@ ORACLE = {
     "kmer_count_two_level": f"WITH {_WINDOWS} SELECT sample_idx, kmer_bits, cnt FROM keyed",
     "sample_count_table": f"WITH {_COUNTS} SELECT * FROM counts",
     "count_matrix_wide": f"WITH {_COUNTS}, {_WIDE} SELECT kmer_bits, array_to_string(counts, ',') AS counts FROM vectors",
-    "push_full_outer": f"WITH {_COUNTS} {_THREE}",
-    "push_samples": f"WITH {_COUNTS} {_THREE}",
+    "push_full_outer": f"WITH {_COUNTS}, {_WIDE} SELECT kmer_bits, array_to_string(counts, ',') AS counts FROM vectors",
+    "push_samples": f"WITH {_COUNTS}, {_WIDE} SELECT kmer_bits, array_to_string(counts, ',') AS counts FROM vectors",
     "count_vectors_packed": f"""WITH {_PACKED} SELECT kmer_bits, samples, array_to_string((flatten(list_transform(coalesce(counts[1:greatest(coalesce(n_cids, 0), 0)], []), lambda w:
         [coalesce(w, 0) & 65535, (coalesce(w, 0) >> 16) & 65535, (coalesce(w, 0) >> 32) & 65535, (coalesce(w, 0) >> 48) & 65535])) || list_transform(range(0, samples), lambda i: 0::BIGINT))[1:samples], ',') AS vector FROM packed""",
     "kmer_position": f"WITH {_COUNTS} SELECT kmer_bits, pos FROM placed",
@@ -413,8 +411,10 @@ ORACLE = {
     "gtf_attrs": r"""WITH f AS (SELECT raw_id, string_split(line, chr(9)) AS f FROM gtf_raw WHERE NOT starts_with(line, '#')),
         p AS (SELECT raw_id, regexp_extract_all(f[9], '(\w+)\s+"([^"]+)"', 1) AS k, regexp_extract_all(f[9], '(\w+)\s+"([^"]+)"', 2) AS v FROM f WHERE len(f) >= 9)
         SELECT raw_id, array_to_string(list_sort(list_transform(list_filter(range(1, len(k) + 1), lambda i: NOT list_contains(k[i + 1:], k[i])), lambda i: concat(k[i], '=', v[i]))), '|') AS attrs FROM p""",
-    "gff3_attrs": """SELECT DISTINCT rec_id, attrs['transcript_id'] AS tid, concat_ws('|', 'ID=transcript:' || attrs['transcript_id'], 'Parent=gene=' || attrs['gene_id'],
-        'biotype=' || upper(attrs['transcript_biotype']), 'note=') AS attrs FROM gtf_records WHERE feature = 'transcript'""",
+    "gff3_attrs": """SELECT DISTINCT rec_id, CASE WHEN feature = 'transcript' THEN attrs['transcript_id'] END AS tid, array_to_string(list_sort(list_filter(
+        coalesce(list_transform(list_filter(map_entries(attrs), lambda e: e.value IS NOT NULL), lambda e: concat(e.key, '=', e.value)), [])
+        || [CASE WHEN feature = 'transcript' THEN 'ID=transcript:' || attrs['transcript_id'] END, 'Parent=gene=' || attrs['gene_id'], 'biotype=' || upper(attrs['transcript_biotype']), 'note='],
+        lambda x: x IS NOT NULL)), '|') AS attrs FROM gtf_records""",
     "fasta_header_fields": r"SELECT DISTINCT rec_id, split_part(split_part(header, ' ', 1), '.', 1) AS tid, nullif(regexp_extract(header, 'transcript_biotype:(\S+)', 1), '') AS biotype FROM fasta_records",
     "tid_biotype_last_wins": f"WITH {_ANNOTATION} SELECT tid, biotype FROM anno",
     "biotype_bits": f"WITH {_ANNOTATION} SELECT i::INT AS position, names[i] AS biotype, 1::BIGINT << (i - 1)::INT AS mask FROM (SELECT names, unnest(range(1, len(names) + 1)) AS i FROM names)",
