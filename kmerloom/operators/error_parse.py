@@ -5,8 +5,8 @@ grammar may insert or delete quotes and delimiters (tab, semicolon, blank) at a
 line of cost zero whose values have the right types is a record; for any other line the cheapest
 edits, or the types that failed, are the reason. The accepting run of cost zero is an ordinary
 regular expression, so well-formed lines are recognised and split inside the JVM and only the others
-reach the programme, which alone decides that a line fails. A transcript record has a programme of
-the same kind, over runs of its characters.
+reach the programme, which takes a step for a whole batch of lines at once. A transcript record has a
+programme of the same kind, over runs of its characters.
 
 Defined results: a null line or record fails with the reason ``null``; comments and blank lines of
 an annotation file are skipped; null file names and late rows do not matter; a row that was
@@ -97,29 +97,78 @@ def _moves() -> tuple[np.ndarray, np.ndarray]:
 MOVE_COST, MOVE_VIA = _moves()
 
 
+#: Cells of back pointers, characters times states, that a batch of lines may hold.
+BATCH_CELLS = 1 << 24
+#: Costs and the state they come from in one number: of equal costs the lowest state counts.
+_FROM = 16
+_MOVE = [np.ascontiguousarray(MOVE_COST[:, s] * _FROM).astype(np.int32) for s in range(STATES)]  # by state: kind, next state
+_KINDS = np.full(128, OTHER, np.int8)
+for _c, _kind in CLASS_OF.items():
+    _KINDS[ord(_c)] = _kind
+_END_COST = np.array([min(INSERT_COST[s, a] for a in ACCEPTING) for s in range(STATES)])
+_END_STATE = [min(ACCEPTING, key=lambda a: INSERT_COST[s, a]) for s in range(STATES)]
+
+
+def _kinds(lines: list[str]) -> np.ndarray:
+    """Kinds of the characters, lines by places; what is behind the end of a line does not matter."""
+    width = max(map(len, lines))
+    points = np.frombuffer("".join(x.ljust(width, "a") for x in lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 128, _KINDS[np.minimum(points, 127)], OTHER).reshape(len(lines), width)
+
+
+def _edits_of_batch(lines: list[str]) -> list[list[str]]:
+    """``cheapest_edits`` of lines in descending order of length: one step of the programme for all lines at once."""
+    kinds, lengths = _kinds(lines), np.array([len(x) for x in lines])
+    width = kinds.shape[1]
+    open_at = np.searchsorted(-lengths, -np.arange(width), side="left")  # lines longer than a place
+    states = np.arange(STATES, dtype=np.int32)
+    cost = np.full((len(lines), STATES), FAR * _FROM, np.int32) + states
+    cost[:, 0] = 0
+    back = np.zeros((width, len(lines), STATES), np.int8)
+    for i in range(width):
+        n = open_at[i]
+        kind, best = kinds[:n, i], np.full((n, STATES), FAR * _FROM * 2, np.int32)
+        for s in range(STATES):
+            np.minimum(best, _MOVE[s].take(kind, axis=0) + cost[:n, s : s + 1], out=best)
+        back[i, :n] = best % _FROM
+        cost[:n] = np.minimum(best - best % _FROM, FAR * _FROM) + states
+    state = (cost // _FROM + _END_COST).argmin(axis=1)
+    edits: list[list[str]] = [[f"insert {NAMES[k]} at end" for k in reversed(INSERTED[int(s), _END_STATE[s]])] for s in state]
+    for i in range(width - 1, -1, -1):
+        n = open_at[i]
+        rows = np.arange(n)
+        before, kind = back[i, rows, state[:n]], kinds[:n, i]
+        middle = MOVE_VIA[kind, before, state[:n]]
+        for r in np.flatnonzero((middle < 0) | (INSERT_COST[before, middle] > 0)):
+            if middle[r] < 0:
+                edits[r].append(f"delete {NAMES[int(kind[r])]} at {i + 1}")
+            else:
+                edits[r] += [f"insert {NAMES[k]} at {i + 1}" for k in reversed(INSERTED[int(before[r]), int(middle[r])])]
+        state[:n] = before
+    return [x[::-1] for x in edits]
+
+
+def cheapest_edits_of(lines: list[str]) -> list[list[str]]:
+    """The edits of least total cost that make each line follow the grammar; none if it does."""
+    order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
+    found: list[list[str]] = [[] for _ in lines]
+    at = 0
+    while at < len(order):
+        n = max(1, min(len(order) - at, BATCH_CELLS // (STATES * max(1, len(lines[order[at]])))))
+        some = order[at : at + n]
+        if lines[some[0]]:
+            for i, edits in zip(some, _edits_of_batch([lines[i] for i in some])):
+                found[i] = edits
+        else:  # nothing but empty lines is left
+            for i in some:
+                found[i] = [f"insert {NAMES[k]} at end" for k in INSERTED[0, _END_STATE[0]]]
+        at += n
+    return found
+
+
 def cheapest_edits(line: str) -> list[str]:
-    """The edits of least total cost that make ``line`` follow the grammar; none if it does."""
-    kinds = [CLASS_OF.get(c, OTHER) for c in line]
-    cost = np.full(STATES, FAR, dtype=np.int64)
-    cost[0] = 0
-    back = np.zeros((len(line), STATES), dtype=np.int8)
-    for i, kind in enumerate(kinds):
-        total = cost[:, None] + MOVE_COST[kind]
-        back[i] = total.argmin(axis=0)
-        cost = total.min(axis=0)
-    ends = np.array([cost[s] + min(INSERT_COST[s, a] for a in ACCEPTING) for s in range(STATES)])
-    state = int(ends.argmin())
-    last = min(ACCEPTING, key=lambda a: INSERT_COST[state, a])
-    edits = [f"insert {NAMES[k]} at end" for k in reversed(INSERTED[state, last])]
-    for i in range(len(line) - 1, -1, -1):
-        before, kind = int(back[i, state]), kinds[i]
-        middle = int(MOVE_VIA[kind, before, state])
-        if middle < 0:
-            edits.append(f"delete {NAMES[kind]} at {i + 1}")
-        else:
-            edits += [f"insert {NAMES[k]} at {i + 1}" for k in reversed(INSERTED[before, middle])]
-        state = before
-    return edits[::-1]
+    """``cheapest_edits_of`` one line."""
+    return cheapest_edits_of([line])[0]
 
 
 def type_errors(line: str) -> list[str]:
@@ -145,11 +194,16 @@ def type_errors(line: str) -> list[str]:
     return found
 
 
+def gtf_reasons(lines: list[str | None]) -> list[str | None]:
+    """Why each line is no record; None if it is one."""
+    held = [x for x in lines if x is not None]
+    edits = iter(cheapest_edits_of(held))
+    return ["null" if x is None else "; ".join(next(edits) or type_errors(x)) or None for x in lines]
+
+
 def gtf_reason(line: str | None) -> str | None:
-    """Why ``line`` is no record; None if it is one."""
-    if line is None:
-        return "null"
-    return "; ".join(cheapest_edits(line) or type_errors(line)) or None
+    """``gtf_reasons`` of one line."""
+    return gtf_reasons([line])[0]
 
 
 #: Characters of a record that may be deleted as stray quotes or delimiters.
@@ -252,14 +306,22 @@ def fasta_reason(record: str | None) -> str | None:
     return "; ".join(_fasta_words(fasta_edits(lines))) or None
 
 
-def _with_reason(rows: DataFrame, key: str, text: str, reason_of) -> DataFrame:
-    """``(key, reason)`` of the rows that ``reason_of`` rejects."""
+#: Reason of a row that the pattern refuses although the programme would not; no row is known to be one.
+REFUSED = "refused by the pattern of a record"
+
+
+def fasta_reasons(records: list[str | None]) -> list[str | None]:
+    """``fasta_reason`` of many records."""
+    return [fasta_reason(x) for x in records]
+
+
+def _with_reason(rows: DataFrame, key: str, text: str, reasons_of) -> DataFrame:
+    """``(key, reason)`` of rows that are no records, so that every row is either loaded or has a reason."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reasons = pa.array([reason_of(x) for x in batch.column(1).to_pylist()], pa.string())
-            failed = reasons.is_valid()
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(failed), reasons.filter(failed)], names=[key, "reason"])
+            reasons = pa.array([x or REFUSED for x in reasons_of(batch.column(1).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), reasons], names=[key, "reason"])
 
     return rows.select(key, text).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, reason string")
 
@@ -276,10 +338,15 @@ def _gtf_fields(line: Column) -> tuple[Column, Column]:
     return f, F.coalesce(good, F.lit(False))
 
 
+def skipped(line: Column) -> Column:
+    """Comments and blank lines of an annotation file."""
+    return F.coalesce(line.startswith("#") | line.rlike(r"\A[ \t]*+\z"), F.lit(False))
+
+
 def load_gtf(df: DataFrame, *, key: str = "raw_id", line: str = "line", loaded_at: str = "loaded_at") -> tuple[DataFrame, DataFrame]:
     """``(records, failures)`` of raw annotation lines: the columns of gtf_records, and (raw_id, reason)."""
     rows = df.select(F.col(key).alias("raw_id"), F.col(line).alias("line"), F.col(loaded_at).alias("loaded_at"))
-    rows = rows.where(F.col("line").isNull() | ~(F.col("line").startswith("#") | F.col("line").rlike(r"\A[ \t]*+\z")))
+    rows = rows.where(~skipped(F.col("line")))
     fields, good = _gtf_fields(F.col("line"))
     f = lambda n: F.get("f", n - 1)
     attributes = last_wins_map(
@@ -291,7 +358,7 @@ def load_gtf(df: DataFrame, *, key: str = "raw_id", line: str = "line", loaded_a
         f(5).cast("long").alias("stop_pos"), f(7).alias("strand"), attributes.alias("attrs"), "loaded_at",
         F.lit(None).cast(rows.schema["loaded_at"].dataType).alias("deleted_at"),
     )
-    return records, _with_reason(rows.where(~good), "raw_id", "line", gtf_reason).distinct()
+    return records, _with_reason(rows.where(~good), "raw_id", "line", gtf_reasons).distinct()
 
 
 def load_fasta(df: DataFrame, *, key: str = "raw_id", record: str = "record", loaded_at: str = "loaded_at") -> tuple[DataFrame, DataFrame]:
@@ -304,4 +371,4 @@ def load_fasta(df: DataFrame, *, key: str = "raw_id", record: str = "record", lo
     records = rows.where(good).select(
         F.col("raw_id").alias("rec_id"), F.substring(head, 2, 1 << 30).alias("header"), sequence.alias("sequence"), "loaded_at"
     )
-    return records, _with_reason(rows.where(~good), "raw_id", "record", fasta_reason).distinct()
+    return records, _with_reason(rows.where(~good), "raw_id", "record", fasta_reasons).distinct()

@@ -34,6 +34,25 @@ def p1_fasta_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_parse.load_fasta(table(spark, sf_dir, "fasta_raw"))[0].distinct()
 
 
+def p1_conserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table the rows that are raw, skipped, loaded and failed, repeated ones counted as often: nothing is lost between them."""
+    out = None
+    for name, load, text in (("gtf_raw", error_parse.load_gtf, "line"), ("fasta_raw", error_parse.load_fasta, "record")):
+        raw = table(spark, sf_dir, name, "raw_id", text, "loaded_at").distinct()
+        records, failures = load(raw)
+        kinds = [
+            raw.select(F.lit("raw").alias("kind")), records.select(F.lit("loaded").alias("kind")), failures.select(F.lit("failed").alias("kind")),
+        ]
+        if name == "gtf_raw":
+            kinds.append(raw.where(error_parse.skipped(F.col(text))).select(F.lit("skipped").alias("kind")))
+        for kind in kinds:
+            counted = kind.groupBy(F.lit(name).alias("src_table"), "kind").agg(F.count(F.lit(1)).alias("n"))
+            out = counted if out is None else out.unionByName(counted)
+    count = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0).cast("long"))
+    sums = out.groupBy("src_table").agg(*[count(k).alias(k) for k in ("raw", "skipped", "loaded", "failed")])
+    return sums.withColumn("lost", F.expr("raw - skipped - loaded - failed"))
+
+
 def p2_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References without a target, with key and reason."""
     gtf = table(spark, sf_dir, "gtf_records", "rec_id", "feature", "attrs", "loaded_at", "deleted_at")
@@ -53,7 +72,7 @@ def p2_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.distinct().groupBy("ref_table", "month").agg(F.count(F.lit(1)).alias("dangling"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_gtf_loaded, p1_fasta_loaded, p2_found, p2_dangling, p2_by_month)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_conserved, p1_gtf_loaded, p1_fasta_loaded, p2_found, p2_dangling, p2_by_month)}
 
 _NAME = "[A-Za-z_][A-Za-z0-9_]*"
 _ITEM = f' *{_NAME} +(?:"[^"]*"|[0-9]+) *'
@@ -82,6 +101,10 @@ _ATTRIBUTES = f"""pairs AS (SELECT *, regexp_extract_all(f[9], '{_PAIR}', 1) AS
 
 ORACLE = {
     "p1_found": f"WITH {_LINES}, {_RECORDS} SELECT DISTINCT 'gtf_raw' AS src_table, raw_id FROM gtf_ok WHERE NOT ok UNION ALL SELECT DISTINCT 'fasta_raw', raw_id FROM fa_ok WHERE NOT ok",
+    "p1_conserved": f"""WITH {_LINES.replace("FROM gtf_raw", "FROM (SELECT DISTINCT raw_id, line, loaded_at FROM gtf_raw)")}, {_RECORDS.replace("FROM fasta_raw", "FROM (SELECT DISTINCT raw_id, record, loaded_at FROM fasta_raw)")},
+    n AS (SELECT 'gtf_raw' AS src_table, (SELECT count(*) FROM (SELECT DISTINCT raw_id, line, loaded_at FROM gtf_raw)) AS raw, count(*) AS held, count_if(ok)::BIGINT AS loaded FROM gtf_ok
+      UNION ALL SELECT 'fasta_raw', (SELECT count(*) FROM (SELECT DISTINCT raw_id, record, loaded_at FROM fasta_raw)), count(*), count_if(ok)::BIGINT FROM fa_ok)
+    SELECT src_table, raw, raw - held AS skipped, loaded, held - loaded AS failed, 0::BIGINT AS lost FROM n""",
     "p1_gtf_loaded": f"""WITH {_LINES}, {_ATTRIBUTES} SELECT DISTINCT raw_id AS rec_id, f[1] AS seqname, f[3] AS feature, CAST(f[4] AS BIGINT) AS start_pos,
     CAST(f[5] AS BIGINT) AS stop_pos, f[7] AS strand, array_to_string(list_sort(list_transform(list_filter(range(1, len(k) + 1),
       lambda i: NOT list_contains(k[i + 1:], k[i])), lambda i: concat(k[i], '=', a[i], b[i]))), '|') AS attrs, loaded_at FROM pairs""",

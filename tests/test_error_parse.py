@@ -86,3 +86,29 @@ def test_load_fasta(spark):
     got = {r.raw_id: r.reason for r in failures.collect()}
     assert sorted(got) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 11]
     assert got[3] == "insert '>' at line 1" and got[5] == "delete '.' at line 2:3" and got[6] == "symbol 'Z' at line 2:3" and got[11] == "insert record break before line 3"
+
+
+def test_batches_of_the_programme(monkeypatch):
+    """Lines of many lengths at once, in batches of a few, give what each gives alone; the programme's costs are those of a plain one."""
+    import random
+
+    rng = random.Random(7)
+    lines = [rng.choice([HEAD, "", "c\t1\t"]) + "".join(rng.choice(PIECES) for _ in range(rng.randrange(12))) for _ in range(300)] + ["", ""]
+    alone = [E.cheapest_edits(x) for x in lines]
+    monkeypatch.setattr(E, "BATCH_CELLS", 4000)
+    assert E.cheapest_edits_of(lines) == alone
+
+    def least(line):
+        cost = {0: 0}
+        for c in line:
+            kind, step = E.CLASS_OF.get(c, E.OTHER), {}
+            for s, v in cost.items():
+                for t in range(E.STATES):
+                    w = v + int(E.MOVE_COST[kind, s, t])
+                    if w < E.FAR and w < step.get(t, E.FAR):
+                        step[t] = w
+            cost = step
+        return min(v + min(int(E.INSERT_COST[s, a]) for a in E.ACCEPTING) for s, v in cost.items())
+
+    price = lambda x: sum(E.MISSING if "name or value" in e else 1 for e in x)
+    assert [price(x) for x in alone] == [least(x) for x in lines]
