@@ -1,12 +1,16 @@
 """How often every distinct term occurs, and in how many records.
 
-A record is one row with an array of terms. Each task walks its records in order and keeps for every
-term three numbers, its occurrences, its records and the last record it was seen in; a record counts
-for a term when it is not the last one seen, so no set of records is ever held. The walk is done on
-whole Arrow batches: a stable sort of the tokens by term leaves the tokens of a term in the order of
-their records, and the last record seen is the one before. A record never spans two rows, so counters
-can be handed on at any record's end: a task keeps at most ``TABLE_TERMS`` of them, and sums of
-counters, not tokens, are shuffled. A term in a third of all tokens is one row per task by then.
+Tokens carry the number of their record and are walked in its order. Every term has a counter of its
+occurrences, of its records and of the last record it was seen in; a token counts a record for its
+term unless that is the record last seen, so no set of records is ever held. A counter also knows the
+first record it saw, which makes two counters of one term into one: the records of both, less one if
+the second begins with the record the first ended with.
+
+The walk is made three times by the same rule (``walk``): over the tokens of an Arrow batch, over the
+counters of the batches of a task, and, after the one shuffle, which deals counters out by the hash of
+their term, in the order of their first record. So a term that is a third of all tokens is one
+counter per task when it is shuffled. A task holds at most ``TABLE_TERMS`` counters and hands them on
+before it would hold more.
 
 Defined results: null terms, null arrays and entries behind the given length are ignored (their rows
 still count as records of the collection); a null or negative length counts as 0; an empty table
@@ -20,68 +24,71 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType
 
 from ..durable import materialise
 
 TABLE_TERMS = 1_000_000
+COUNTER = ["term", "first", "last", "occurrences", "records"]
 
 
-def count_batch(terms: pa.Array, record: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """``(terms, occurrences, records)`` of tokens that come in the order of their records."""
+def walk(terms: pa.Array, first: np.ndarray, last: np.ndarray, occurrences: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """One counter per term of counters that come in the order of their records. A token is a counter of one occurrence."""
     coded = terms.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(code, kind="stable")
-    code, record = code[order], record[order]
+    order = np.argsort(code, kind="stable")  # the counters of a term stay in order
+    code, first, last = code[order], first[order], last[order]
     new_term = np.ones(len(code), dtype=bool)
     new_term[1:] = code[1:] != code[:-1]
-    unseen = new_term.copy()
-    unseen[1:] |= record[1:] != record[:-1]
-    first = np.flatnonzero(new_term)
-    occurrences = np.diff(np.append(first, len(code)))
-    records = np.add.reduceat(unseen.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    return coded.dictionary.take(pa.array(code[first])), occurrences.astype(np.int64), records
-
-
-def partial_counts(df: DataFrame, terms: str, length: str | None) -> DataFrame:
-    """``(term, occurrences, records)`` of each task; the row of a null term has the task's records."""
+    seen = np.zeros(len(code), dtype=np.int64)
+    seen[1:] = ~new_term[1:] & (first[1:] == last[:-1])  # begins with the record last seen
+    at = np.flatnonzero(new_term)
+    ends = np.append(at[1:], len(code)) - 1
+    add = lambda x: np.add.reduceat(x, at) if len(at) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [coded.dictionary.take(pa.array(code[at])), pa.array(first[at]), pa.array(last[ends]), pa.array(add(occurrences[order])), pa.array(add(records[order] - seen))], names=COUNTER,
+    )
+
+
+def task_counters(df: DataFrame, terms: str, length: str | None) -> DataFrame:
+    """The counters of each task, and one of a null term whose records are the rows of the task."""
     array: ArrayType = df.schema[terms].dataType
     kind = array.elementType.simpleString()
     used = F.col(terms) if length is None else F.slice(F.col(terms), 1, F.greatest(F.coalesce(F.col(length).cast("int"), F.lit(0)), F.lit(0)))
 
+    def merged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        term, *numbers = (pa.concat_arrays([b.column(i) for b in held]) for i in range(len(COUNTER)))
+        return walk(term, *(x.to_numpy() for x in numbers))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, parts = 0, 0, []
+        total, size, held = 0, 0, []
         kind_of: pa.DataType | None = None
-
-        def rows() -> pa.RecordBatch:
-            t = pa.Table.from_arrays([pa.concat_arrays([p[i] if not i else pa.array(p[i]) for p in parts]) for i in range(3)], names=["term", "o", "r"])
-            t = t.group_by("term").aggregate([("o", "sum"), ("r", "sum")])
-            return t.select(["term", "o_sum", "r_sum"]).rename_columns(["term", "occurrences", "records"]).combine_chunks().to_batches()[0]
-
         for batch in batches:
-            lists = batch.column(0)
+            lists, number = batch.column(0), batch.column(1).to_numpy()
             kind_of = lists.type.value_type
             total += len(lists)
             flat, parent = lists.flatten(), pc.list_parent_indices(lists)
             there = flat.is_valid()
             flat, parent = flat.filter(there), parent.filter(there)
             if len(flat):
-                parts.append(count_batch(flat, parent.to_numpy(zero_copy_only=False)))
-                held += len(parts[-1][0])
-            if held > TABLE_TERMS:
-                merged = rows()
-                parts = [(merged.column(0), merged.column(1).to_numpy(), merged.column(2).to_numpy())]
-                held = len(merged)
-                if held > TABLE_TERMS // 2:  # hand the counters on rather than let the table grow
-                    yield merged
-                    parts, held = [], 0
-        if parts:
-            yield rows()
+                record, one = number[parent.to_numpy(zero_copy_only=False)], np.ones(len(flat), np.int64)
+                held.append(walk(flat, record, record, one, one))
+                size += len(held[-1])
+            if size > TABLE_TERMS:
+                held = [merged(held)]
+                size = len(held[0])
+                if size > TABLE_TERMS // 2:  # hand the counters on rather than let the table grow
+                    yield held[0]
+                    held, size = [], 0
+        if held:
+            yield merged(held)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind_of), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["term", "occurrences", "records"])
+            number = lambda n: pa.array([n], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind_of), number(0), number(0), number(0), number(total)], names=COUNTER)
 
-    return df.select(used.alias("t")).mapInArrow(run, f"term {kind}, occurrences bigint, records bigint")
+    numbered = df.select(used.alias("t"), F.monotonically_increasing_id().alias("record"))
+    return numbered.mapInArrow(run, f"term {kind}, first bigint, last bigint, occurrences bigint, records bigint")
 
 
 def term_frequencies(df: DataFrame, terms: str, length: str | None = None, *, rare_below: int = 3, common_share: float = 0.05) -> DataFrame:
@@ -90,7 +97,11 @@ def term_frequencies(df: DataFrame, terms: str, length: str | None = None, *, ra
     A term is rare if fewer than ``rare_below`` records hold it, else common if at least
     ``common_share`` of all records do.
     """
-    counts = partial_counts(df, terms, length).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    by_record = Window.partitionBy("term").orderBy("first", "last")  # of a term at most some counters a task
+    seen = F.coalesce((F.lag("last").over(by_record) == F.col("first")).cast("long"), F.lit(0))
+    seen = F.when(F.col("term").isNull(), F.lit(0)).otherwise(seen)  # the row counts of the tasks
+    walked = task_counters(df, terms, length).withColumn("seen", seen)
+    counts = walked.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum(F.col("records") - F.col("seen")).alias("records"))
     counts = materialise(counts, "terms")
     total = counts.where("term is null").select("records").first()
     least = (total[0] if total else 0) * common_share

@@ -53,7 +53,7 @@ def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences, rows and mark of every packed count word."""
-    rows = table(spark, sf_dir, "counts_layer").distinct()
+    rows = unique_rows(table(spark, sf_dir, "counts_layer"), "kmer_bits")
     return frequency.term_frequencies(rows, "counts", "n_cids").withColumnRenamed("term", "word")
 
 

@@ -104,3 +104,22 @@ def test_term_frequencies_of_words(spark):
     got = {r.term: (r.occurrences, r.records) for r in frequency.term_frequencies(df, "w").collect()}
     assert got == {"a": (3, 2), "b": (1, 1), "": (1, 1)}
     assert frequency.term_frequencies(df.limit(0), "w").count() == 0
+
+
+def test_walk_counts_a_record_once_across_counters():
+    """A record whose tokens are spread over several counters is one record."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    tokens = sorted((rng.randrange(30), rng.choice("abc")) for _ in range(200))
+    occurrences, records = Counter(t for _, t in tokens), Counter(t for _, t in set(tokens))
+    for cut in (1, 7, 200):
+        held = []
+        for i in range(0, len(tokens), cut):
+            some = tokens[i : i + cut]
+            record, one = np.array([r for r, _ in some]), np.ones(len(some), np.int64)
+            held.append(frequency.walk(pa.array([t for _, t in some]), record, record, one, one))
+        term, *numbers = (pa.concat_arrays([b.column(i) for b in held]) for i in range(5))
+        got = {r["term"]: (r["occurrences"], r["records"]) for r in frequency.walk(term, *(x.to_numpy() for x in numbers)).to_pylist()}
+        assert got == {t: (occurrences[t], records[t]) for t in occurrences}
