@@ -16,9 +16,11 @@ in common. Steps:
 
 A shared anchor without a long run around it yields nothing, so hash collisions cost time, not
 truth. An anchor with more than ``SHARD_CLASSES`` classes (a formula with ever different
-surroundings) is no job for one task: its classes are split further by the exact runs they hold,
-``min_length`` characters each, and compared by an ordinary aggregation. Copies of a text are one
-text throughout and documents again only at the end.
+surroundings) is no job for one automaton: the surroundings of its classes are dealt out anew by longer
+anchors, half way to ``min_length`` each time, which two of them that share a run have in common just
+as well. At the last step the anchor is the run itself, so all that meet there hold it and the shard's
+automaton is that of one string. Copies of a text are one text throughout and documents again only at
+the end.
 
 Defined results: null, empty and short texts have no spans and a share of 0; characters are code
 points; repeated rows of one ``key`` are one document; extra columns are not looked at.
@@ -82,6 +84,7 @@ def choose_anchors(codes: np.ndarray, valid: np.ndarray, min_length: int, anchor
     ranked = (h & ~LOW_BITS) | np.arange(windows, dtype=np.uint64)
     per_run = min_length - anchor + 1
     least = _sliding(np.minimum, ranked, per_run)
+    least = least.copy() if per_run == 1 else least  # else it is a new array already
     least[~valid[: len(least)]] = 0
     padded = np.zeros(len(least) + 2 * (per_run - 1), dtype=np.uint64)
     padded[per_run - 1 : per_run - 1 + len(least)] = least
@@ -262,8 +265,8 @@ def _surroundings(located: DataFrame, min_length: int, anchor: int) -> DataFrame
 CLASS_ROWS = "h bigint, cls binary, groups array<string>, spans array<struct<start: int, stop: int>>"
 
 
-def _by_automata(classes: DataFrame, min_length: int) -> DataFrame:
-    """Run the automaton of every anchor; ``classes`` has (h, cls, piece, low, high), all of one ``h`` fit in a task."""
+def _by_automata(classes: DataFrame, min_length: int, anchor: int) -> DataFrame:
+    """Run the automaton of every anchor of a length; ``classes`` has (h, cls, piece, low, high), all of one ``h`` fit in a task."""
 
     def solve(h: int, rows: list[dict]) -> Iterator[dict]:
         owners = [(r["low"], r["high"]) for r in rows]
@@ -273,7 +276,7 @@ def _by_automata(classes: DataFrame, min_length: int) -> DataFrame:
             spans, sets = [[(0, len(rows[0]["piece"]))] if owners[0][0] != owners[0][1] else []], [1]
         for i, r in enumerate(rows):
             if spans[i]:
-                groups = [f"a{k}" for k, m in enumerate(sets) if m >> i & 1]
+                groups = [f"{anchor}.{k}" for k, m in enumerate(sets) if m >> i & 1]
                 yield {"h": h, "cls": r["cls"], "groups": groups, "spans": [{"start": a, "stop": b} for a, b in spans[i]]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,15 +302,33 @@ def _by_automata(classes: DataFrame, min_length: int) -> DataFrame:
     return classes.repartition(wide_parallelism(classes.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, CLASS_ROWS)
 
 
-def _by_runs(classes: DataFrame, min_length: int) -> DataFrame:
-    """The same for anchors with too many classes: compare all runs of ``min_length`` by aggregation."""
-    starts = F.sequence(F.lit(0), F.length("piece") - min_length)
-    runs = classes.select("h", "cls", "low", "high", "piece", F.explode(starts).alias("o")).select(
-        "h", "cls", "low", "high", "o", F.md5(F.expr(f"substring(piece, o + 1, {min_length})").cast("binary")).alias("run")
+def _classes(pieces: DataFrame) -> DataFrame:
+    """``(h, cls, piece, low, high)`` of the pieces of texts: equal pieces once, with the least and the greatest text that holds them."""
+    return pieces.groupBy("h", "cls").agg(F.min("piece").alias("piece"), F.min("tid").alias("low"), F.max("tid").alias("high"))
+
+
+def _longer_anchors(pieces: DataFrame, classes: DataFrame, min_length: int, anchor: int) -> DataFrame:
+    """``pieces`` cut anew around anchors of ``anchor`` characters, which are found once in each of their ``classes``."""
+    margin = min_length - anchor
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            index, pos, h = fingerprint(texts, min_length, anchor)
+            start = np.maximum(pos - margin, 0)
+            cut = [texts[i][a : p + min_length] for i, a, p in zip(index.tolist(), start.tolist(), pos.tolist())]
+            cls = [hashlib.md5(p.encode("utf-8", "surrogatepass")).digest() for p in cut]
+            rows = pa.array(index)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h), pa.array(cls, pa.binary()), pa.array(start), pa.array(cut, pa.string())],
+                names=["h", "cls", "h2", "cls2", "at", "piece"],
+            )
+
+    finer = classes.select("h", "cls", "piece").mapInArrow(run, "h bigint, cls binary, h2 bigint, cls2 binary, at bigint, piece string")
+    placed = pieces.select("h", "cls", "tid", "starts").join(finer, ["h", "cls"]).select(
+        F.col("h2").alias("h"), F.col("cls2").alias("cls"), "tid", F.transform("starts", lambda s: s + F.col("at")).alias("starts"), "piece"
     )
-    shared = runs.groupBy("h", "run").agg(F.min("low").alias("l"), F.max("high").alias("g")).where("l <> g").select("h", "run")
-    span = F.struct(F.col("o").alias("start"), (F.col("o") + min_length).alias("stop"))
-    return runs.join(shared, ["h", "run"]).groupBy("h", "cls").agg(F.collect_set("run").alias("groups"), F.sort_array(F.collect_set(span)).alias("spans"))
+    return placed.groupBy("h", "cls", "tid").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"), F.min("piece").alias("piece"))
 
 
 class SharedSpans:
@@ -321,7 +342,7 @@ class SharedSpans:
         long = docs.where(F.length("text") >= min_length).withColumn("tid", F.unhex(F.md5(F.col("text").cast("binary"))))
         self.lengths = docs.groupBy("key").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n_chars"))
         spark = df.sparkSession
-        # A filter on the ids of texts with shared anchors spares the shuffle of all other texts.
+        # A filter on the ids of texts with shared anchors spares the shuffle of all other texts. It has a fixed number of bits, 1 MB.
         wanted = {
             "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
             "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
@@ -348,22 +369,32 @@ class SharedSpans:
         first = self.copies.groupBy("tid").agg(F.min("key").alias("key"))
         by_text = materialise(by_text.join(first, "tid").withColumn("n", F.size("anchors")), "located")
         located = long.select("key", "tid", "text").join(by_text.where("n > 0").select("key", "tid", "anchors"), ["key", "tid"]).dropDuplicates(["tid"])
-        self.pieces = materialise(_surroundings(located, self.min_length, anchor), "pieces")
-        classes = self.pieces.groupBy("h", "cls").agg(F.min("piece").alias("piece"), F.min("tid").alias("low"), F.max("tid").alias("high"))
-        classes = materialise(classes, "classes")
-        large = materialise(classes.groupBy("h").count().where(F.col("count") > shard_classes).select("h"), "large")
-        if large.isEmpty():
-            solved = _by_automata(classes, self.min_length)
-        else:
-            solved = _by_automata(classes.join(large, "h", "left_anti"), self.min_length).unionByName(
-                _by_runs(classes.join(large, "h", "left_semi"), self.min_length)
-            )
+        pieces = materialise(_surroundings(located, self.min_length, anchor), "pieces")
+        done = []
+        while True:
+            classes = materialise(_classes(pieces), "classes")
+            large = materialise(classes.groupBy("h").count().where(F.col("count") > shard_classes).select("h"), "large")
+            if anchor == self.min_length or large.isEmpty():
+                done.append((pieces, _by_automata(classes, self.min_length, anchor)))
+                break
+            done.append((pieces.join(large, "h", "left_anti"), _by_automata(classes.join(large, "h", "left_anti"), self.min_length, anchor)))
+            anchor = (anchor + self.min_length + 1) // 2
+            some = pieces.join(large, "h", "left_semi"), classes.join(large, "h", "left_semi")
+            pieces = materialise(_longer_anchors(*some, self.min_length, anchor), "pieces")
+        self.pieces = done[0][0]
+        solved = done[0][1]
+        for more, rows in done[1:]:
+            self.pieces, solved = self.pieces.unionByName(more), solved.unionByName(rows)
         self.solved = materialise(solved, "solved")
 
     def pairs(self) -> DataFrame:
         """``(doc_a, doc_b)``, doc_a < doc_b, of all documents that share a run, copies included."""
         held = self.pieces.select("h", "cls", "tid").join(self.solved.select("h", "cls", "groups"), ["h", "cls"])
-        held = held.select("h", F.explode("groups").alias("g"), "tid").distinct()
+        held = materialise(held.select("h", F.explode("groups").alias("g"), "tid").distinct(), "held")
+        # A passage has many anchors, mostly held by the same texts: one of the groups with the same members gives their pairs.
+        members = held.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("tid")).alias("x"), F.bit_xor(F.xxhash64("tid", F.lit(1))).alias("y"))
+        once = members.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("h", "g")).alias("of")).select("of.h", "of.g")
+        held = held.join(once, ["h", "g"], "left_semi")
         other = held.withColumnRenamed("tid", "tid_b")
         texts = held.withColumnRenamed("tid", "tid_a").join(other, ["h", "g"]).where("tid_a < tid_b").select("tid_a", "tid_b").distinct()
         a = self.copies.select(F.col("tid").alias("tid_a"), F.col("key").alias("ka"))

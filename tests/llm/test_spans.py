@@ -108,3 +108,23 @@ def test_common_runs_share_an_anchor(run, left, right):
     assert set(h[index == 0].tolist()) <= set(h.tolist())
     shared = set(h[index == 0].tolist()) & set(h[index == 1].tolist())
     assert shared
+
+
+def test_formula_with_ever_different_surroundings(spark):
+    """More classes of one anchor than an automaton takes: the anchors are lengthened, and only texts that share more than the formula pair up."""
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    noise = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    formula = noise(150)
+    rows = [(i, noise(120) + formula + noise(120)) for i in range(400)]
+    tails = [noise(70) for _ in range(3)]
+    rows += [(1000 + i, noise(100) + formula + tails[i % 3] + noise(60)) for i in range(30)]
+    heads = [noise(49), noise(50)]  # one short of a run of 200, and just enough
+    rows += [(2000 + i, noise(90) + heads[i % 2] + formula + noise(90)) for i in range(8)]
+    s = spans.SharedSpans(spark.createDataFrame(rows, "doc_id bigint, text string"), 200)
+    pairs, covered = brute(rows, 200)
+    assert sorted(map(tuple, s.pairs().collect())) == sorted(pairs) and len(pairs) == 3 * 45 + 6
+    got = defaultdict(set)
+    for r in s.spans().collect():
+        got[r.doc_id] |= set(range(r.span_start, r.span_stop))
+    assert got == covered
