@@ -9,8 +9,8 @@ matrix of sets, and the matrices are summed. No intersection is ever built.
 
 The counts are exact. Defined results: null identifiers and null sets are ignored, repeated rows
 count once, sets without identifiers have no row, an empty table gives no rows. One matrix holds at
-most ``MAX_SETS`` sets; ``overlaps`` cuts more into blocks and counts every pair of blocks, while
-``pair_counts``, which is one matrix, raises a ValueError.
+most ``MAX_SETS`` sets (8 MB in a task); more sets are counted in tiles by the same split of heavy and
+light identifiers, however many there are.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..durable import materialise
+from ..durable import materialise, wide_parallelism
 from ..operators.positions import with_position
 
 LIGHT = 6
-MAX_SETS = 4096
+#: Sets of one matrix at most, sets of a side of a tile, and tasks over which a tile's identifiers are spread.
+MAX_SETS, TILE, TILE_TASKS = 1024, 512, 16
 #: Rows of one dense product: float32 counts exactly up to 2**24.
 BLOCK_CELLS = 1 << 22
 
@@ -66,9 +68,7 @@ def _members(df: DataFrame, item: str, member_of: str) -> tuple[DataFrame, list]
 def pair_counts(df: DataFrame, item: str, member_of: str) -> DataFrame:
     """``(set_a, set_b, shared)`` with set_a <= set_b; the pairs of a set with itself hold its size."""
     rows, sets = _members(df, item, member_of)
-    if len(sets) > MAX_SETS:
-        raise ValueError(f"more than {MAX_SETS} sets")
-    return _one_matrix(rows, sorted(sets))
+    return _by_tiles(rows, TILE) if len(sets) > MAX_SETS else _one_matrix(rows, sorted(sets))
 
 
 def _one_matrix(rows: DataFrame, sets: list) -> DataFrame:
@@ -109,37 +109,92 @@ def _one_matrix(rows: DataFrame, sets: list) -> DataFrame:
     )
 
 
-def _by_blocks(rows: DataFrame) -> DataFrame:
-    """``pair_counts`` of any number of sets: one bounded matrix for each pair of blocks of half ``MAX_SETS`` sets."""
-    size = MAX_SETS // 2
-    places = materialise(with_position(rows.select("__set").distinct(), "__set").withColumn("__block", F.expr(f"(pos - 1) div {size}")).drop("pos"), "blocks")
-    placed = materialise(rows.distinct().join(places, "__set"), "placed")
-    n = places.agg(F.max("__block")).first()[0] + 1
-    names = lambda i: [r[0] for r in places.where(F.col("__block") == i).select("__set").collect()]
-    counted = None
-    for i in range(n):
-        of_i = names(i)
-        for j in range(i + 1, n):
-            of_j = names(j)
-            pairs = _one_matrix(placed.where(F.col("__block").isin(i, j)).select("__item", "__set"), sorted(of_i + of_j))
-            # Sets are placed in order, so set_a is of block i unless both are of j. Pairs within a block count once: with the
-            # next block, those of the last block with the one before it.
-            first = F.lit(min(of_j))
-            wanted = (F.col("set_a") < first) & (F.col("set_b") >= first)
-            if j == i + 1:
-                wanted = wanted | (F.col("set_b") < first)
-            if j == n - 1 and i == n - 2:
-                wanted = wanted | (F.col("set_a") >= first)
-            part = materialise(pairs.where(wanted), "pairs")
-            counted = part if counted is None else counted.unionByName(part)
-    return counted
+def _expand_light(places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(a, b, n)``: how often two places, or a place and itself, come together in one owner; both arrays in order of owner and place."""
+    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    degree = np.diff(np.append(begins, len(owner)))
+    found = []
+    for d in np.unique(degree):
+        at = places[begins[degree == d][:, None] + np.arange(d)]
+        found += [np.stack([at[:, i], at[:, j]], axis=1) for i in range(d) for j in range(i, d)]
+    pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return pairs[:, 0], pairs[:, 1], n
+
+
+def _by_tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """``pair_counts`` of any number of sets, in tiles of ``tile`` sets by as many.
+
+    Sets are placed in order and cut into blocks. An identifier's sets are one row of bit words per block it occurs in. Identifiers of few
+    sets are expanded to pairs, counted per Arrow batch; those of many give a row for each pair of their blocks, which is shuffled
+    to its tile and multiplied there. A tile is spread over several tasks by its identifiers, each with one matrix at a time.
+    """
+    spark, kind = rows.sparkSession, rows.schema["__set"].dataType.simpleString()
+    words = -(-tile // 64)
+    names = [f"w{w}" for w in range(words)]
+    places = materialise(with_position(rows.select("__set").distinct(), "__set", name="__at").withColumn("__at", F.col("__at") - 1), "places")
+    placed = rows.join(places, "__set").select("__item", F.expr(f"__at div {tile}").alias("block"), F.expr(f"cast(__at % {tile} as int)").alias("within"))
+    bit = F.expr("shiftleft(1L, within % 64)")
+    held = [F.bit_or(F.when(F.expr(f"within div 64 = {w}"), bit).otherwise(F.lit(0).cast("long"))).alias(c) for w, c in enumerate(names)]
+    block = F.struct("block", F.array(*names).alias("words"))
+    size = F.sum(sum((F.bit_count(c) for c in names[1:]), F.bit_count(names[0])))
+    gathered = placed.groupBy("__item", "block").agg(*held).groupBy("__item").agg(F.sort_array(F.collect_list(block)).alias("blocks"), size.alias("degree"))
+    gathered = materialise(gathered.select("blocks", "degree", F.pmod(F.xxhash64("__item"), F.lit(1 << 30)).cast("int").alias("salt")), "gathered")
+
+    def bits_of(words_column: pa.Array) -> np.ndarray:
+        packed = words_column.flatten().to_numpy(zero_copy_only=False).reshape(-1, words).astype("<i8")
+        return np.unpackbits(packed.view(np.uint8), axis=1, bitorder="little")[:, :tile]
+
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            if not len(lists):
+                continue
+            flat, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            at, place = np.nonzero(bits_of(flat.field("words")))
+            a, b, n = _expand_light(flat.field("block").to_numpy()[at] * tile + place, owner[at])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+
+    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = None, None
+
+        def counted() -> pa.RecordBatch:
+            x, y = np.nonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(x + of[0] * tile), pa.array(y + of[1] * tile), pa.array(total[x, y])], names=["a", "b", "n"])
+
+        for batch in batches:
+            i, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(i)]):
+                if hi == lo:
+                    continue
+                if of != (i[lo], j[lo]):
+                    if of:
+                        yield counted()
+                    of, total = (i[lo], j[lo]), np.zeros((tile, tile), dtype=np.int64)
+                x, y = (bits_of(batch.column(c).slice(lo, hi - lo)).astype(np.float32) for c in (2, 3))
+                product = (x.T @ y).astype(np.int64)  # at most a batch's rows, which float32 counts exactly
+                total += np.triu(product) if of[0] == of[1] else product
+        if of:
+            yield counted()
+
+    schema = "a bigint, b bigint, n bigint"
+    few = gathered.where(F.col("degree") <= LIGHT).select("blocks").mapInArrow(light, schema)
+    both = F.flatten(F.transform("blocks", lambda x: F.transform(F.filter("blocks", lambda y: y["block"] >= x["block"]), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    tiles = gathered.where(F.col("degree") > LIGHT).select(F.explode(both).alias("t"), "salt").select("t.x.block", F.col("t.y.block").alias("other"), F.col("t.x.words"), F.col("t.y.words").alias("others"), "salt")
+    parts = wide_parallelism(spark)
+    spread = tiles.repartition(parts, "block", "other", F.pmod("salt", F.lit(TILE_TASKS))).sortWithinPartitions("block", "other").drop("salt")
+    many = spread.mapInArrow(heavy, schema)
+    summed = few.unionByName(many).groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    a = places.select(F.col("__at").alias("a"), F.col("__set").cast(kind).alias("set_a"))
+    b = places.select(F.col("__at").alias("b"), F.col("__set").cast(kind).alias("set_b"))
+    return summed.join(a, "a").join(b, "b").select("set_a", "set_b", "shared")
 
 
 def overlaps(df: DataFrame, item: str, member_of: str) -> DataFrame:
     """``(set_a, set_b, shared, size_a, size_b)`` with set_a < set_b, for pairs that share anything."""
     rows, sets = _members(df, item, member_of)
     if len(sets) > MAX_SETS:
-        pairs, bounded = _by_blocks(rows), lambda x: x
+        pairs, bounded = materialise(_by_tiles(rows, TILE), "pairs"), lambda x: x
     else:
         pairs, bounded = materialise(_one_matrix(rows, sorted(sets)), "pairs"), F.broadcast  # read three times, counted once
     # In one matrix at most MAX_SETS squared rows: one small table, whose sizes are its own diagonal.
