@@ -12,8 +12,7 @@ the heaviest rows' values, which are counted on the way.
 
 The totals are exact. Defined results: rows with a null value, or a weight that is null or not
 positive, are ignored; equal totals are ordered by value; an empty table gives no rows; repeated
-rows count as often as they occur (pass ``df.distinct()`` where a replay must count once: the
-filters of the levels are pushed below it).
+rows count as often as they occur unless ``identity`` names the columns by which a row is a replay.
 """
 
 from __future__ import annotations
@@ -61,12 +60,46 @@ def _kth_bound(rows: DataFrame, level: DataFrame, k: int):
     return max(best[-1][0], exact[-1] if len(exact) >= k else best[-1][0])
 
 
-def most_frequent(df: DataFrame, item: str, weight: str | None = None, *, k: int | None = None, share: float | None = None) -> DataFrame:
-    """``(item, total)``: the ``k`` values of largest total, or those with at least ``share`` of all weight."""
+def _top_of_replayed(rows: DataFrame, item: str, k: int) -> DataFrame:
+    """The ``k`` values of largest total, equal ``rows`` counting once, without removing the replays of all rows.
+
+    Replays only raise a prefix's sum, so sums over all rows are upper bounds still. The lower bound comes from the exact totals of the
+    values with the heaviest rows; only their rows, and those behind the prefixes retained at last, are made distinct.
+    """
+    left, bound = rows, None
+    for bits in LEVELS:
+        level = materialise(left.groupBy(_prefix(bits).alias("p")).agg(
+            F.sum("__weight").alias("total"), F.max("__weight").alias("most"), F.max_by("__item", "__weight").alias("heaviest")
+        ), "prefixes")
+        named = {r[0] for by in ("most", "total") for r in level.orderBy(F.desc(by)).limit(k).select("heaviest").collect()}  # at most 2k values
+        counted = rows.where(F.col("__item").isin(list(named))).distinct().groupBy("__item").agg(F.sum("__weight").alias("t"))
+        exact = [r[0] for r in counted.orderBy(F.desc("t")).limit(k).select("t").collect()]
+        if len(exact) == k:
+            bound = max(exact[-1], bound or 0)
+        kept = level if bound is None else level.where(F.col("total") >= F.lit(bound))
+        left = _keep(left, bits, kept.select("p"))
+        if kept.limit(4 * k + 1).count() <= 4 * k:
+            break
+    result = left.distinct().groupBy(F.col("__item").alias(item)).agg(F.sum("__weight").alias("total"))
+    return result.orderBy(F.desc("total"), item).limit(k)
+
+
+def most_frequent(
+    df: DataFrame, item: str, weight: str | None = None, *, k: int | None = None, share: float | None = None, identity: list[str] | None = None
+) -> DataFrame:
+    """``(item, total)``: the ``k`` values of largest total, or those with at least ``share`` of all weight.
+
+    With ``identity`` rows that are equal in value, weight and these columns count once.
+    """
     if (k is None) == (share is None):
         raise ValueError("give either k or share")
     counted = F.lit(1).cast("long") if weight is None else F.col(weight)
-    rows = df.select(F.col(item).alias("__item"), counted.alias("__weight")).where("__item is not null and __weight > 0")
+    own = [F.col(c).alias(f"__of{n}") for n, c in enumerate(identity or [])]
+    rows = df.select(F.col(item).alias("__item"), counted.alias("__weight"), *own).where("__item is not null and __weight > 0")
+    if identity is not None and k is not None:
+        return _top_of_replayed(rows, item, k)
+    if identity is not None:  # a share needs the weight of all rows that count
+        rows = rows.distinct().select("__item", "__weight")
     left, bound = rows, None
     for n, bits in enumerate(LEVELS):
         level = materialise(_sums(left, bits, k is not None), "prefixes")
