@@ -35,10 +35,10 @@ def test_overlaps_by_name_and_empty(spark):
     assert overlap.overlaps(spark.createDataFrame([], "item string, grp string"), "item", "grp").count() == 0
 
 
-def test_too_many_sets(spark, monkeypatch):
+def test_pair_counts_beyond_one_matrix(spark, monkeypatch):
     monkeypatch.setattr(overlap, "MAX_SETS", 2)
-    with pytest.raises(ValueError):
-        overlap.pair_counts(spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "item int, grp int"), "item", "grp")
+    got = overlap.pair_counts(spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 3)], "item int, grp int"), "item", "grp").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 2, 1), (2, 3, 1), (3, 3, 2)]
 
 
 def totals_of(rows):
@@ -123,3 +123,20 @@ def test_walk_counts_a_record_once_across_counters():
         term, *numbers = (pa.concat_arrays([b.column(i) for b in held]) for i in range(5))
         got = {r["term"]: (r["occurrences"], r["records"]) for r in frequency.walk(term, *(x.to_numpy() for x in numbers)).to_pylist()}
         assert got == {t: (occurrences[t], records[t]) for t in occurrences}
+
+
+@pytest.mark.parametrize("levels", [heavy.LEVELS, (1, 3)])
+def test_top_of_replayed_rows(spark, monkeypatch, levels):
+    """A value that is large by its replays only is not among the top."""
+    monkeypatch.setattr(heavy, "LEVELS", levels)
+    rng = random.Random(12)
+    rows = [(rng.choice([None, *range(300)]), rng.choice([None, 0, 1, 2, 9]), rng.randrange(4)) for _ in range(3000)]
+    rows += [(400, 30, 1)] * 500 + [(401, 20, i) for i in range(9)] + rows[:700]
+    df = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "item bigint, w bigint, chunk int, total int")
+    totals = totals_of([(a, b) for a, b, _ in set(rows)])
+    for k in (1, 5, 1000):
+        got = [tuple(r) for r in heavy.most_frequent(df, "item", "w", k=k, identity=["chunk", "total"]).collect()]
+        assert got == sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:k]
+    got = {tuple(r) for r in heavy.most_frequent(df, "item", "w", share=0.01, identity=["chunk", "total"]).collect()}
+    assert got == {x for x in totals.items() if x[1] >= 0.01 * sum(totals.values())}
+    assert heavy.most_frequent(df.limit(0), "item", "w", k=3, identity=["chunk"]).count() == 0
