@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers with items of integer size.
 
-Only the histogram of sizes matters for a packing, and it has at most ``capacity`` rows whatever the
-number of items. So the plan is made from the histogram on the driver and holds for each size ranges
+Only the histogram of sizes matters for a packing, and it has at most ``capacity`` rows (``GRID`` for a
+large capacity) whatever the number of items. So the plan is made from the histogram on the driver and holds for each size ranges
 of ranks with the containers they go to; the items themselves are ranked within their size and find
 their container by a join with that plan, without ever meeting in one task.
 
@@ -25,6 +25,8 @@ from ..durable import materialise
 
 #: Items of one size that are ranked by one task at most.
 RANK_BLOCK = 500_000
+#: Units of a container at most, and rows of a plan that are broadcast at most (about 10 MB).
+GRID, PLAN_ROWS = 16_384, 200_000
 
 
 class Gaps:
@@ -114,9 +116,19 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[i
     return plan, containers
 
 
+def size_unit(capacity: int) -> int:
+    """The unit in which sizes are planned: 1, or so much that a container has at most ``GRID`` units."""
+    return -(-capacity // GRID)
+
+
 def pack(df: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
-    """``(key, part_no, part_size, container)``: every item, or part of an oversize item, with its container."""
+    """``(key, part_no, part_size, container)``: every item, or part of an oversize item, with its container.
+
+    With a capacity above ``GRID`` sizes are rounded up to units for the plan, so no container overflows and the histogram, the
+    plan and their broadcast stay as small as for ``GRID`` units; the rounding costs at most a unit per item.
+    """
     spark = df.sparkSession
+    unit = size_unit(capacity)
     n = F.col("__n")
     parts = df.select(F.col(key), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__n")).select(
         key, F.explode(F.when(n > capacity, F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"), F.lit(capacity).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("__at"), n
@@ -127,31 +139,55 @@ def pack(df: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_token
         F.greatest(F.lit(0).cast("long"), F.least(F.lit(capacity).cast("long"), n - F.col("__at"))).cast("int").alias("part_size"),
     )
     items = materialise(items, "items")
-    sized = items.where("part_size > 0")
-    histogram = {r[0]: r[1] for r in sized.groupBy("part_size").count().collect()}  # at most ``capacity`` rows
-    plan, _ = plan_packing(histogram, capacity)
+    # An item of more than the whole units of a container has one for itself: it counts as all of them.
+    units = capacity // unit
+    sized = items.where("part_size > 0").withColumn("__units", F.expr(f"cast(least((part_size + {unit - 1}) div {unit}, {units}) as int)"))
+    histogram = {r[0]: r[1] for r in sized.groupBy("__units").count().collect()}  # at most GRID rows
+    plan, _ = plan_packing(histogram, units)
     blocks = max(1, -(-max(histogram.values(), default=0) // RANK_BLOCK))
     block = F.pmod(F.xxhash64(key, "part_no"), F.lit(blocks)).cast("int")
     sized = sized.withColumn("__block", block)
     if blocks > 1:
-        before = Window.partitionBy("part_size").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sized.groupBy("part_size", "__block").count().select(
-            "part_size", "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset")
+        before = Window.partitionBy("__units").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sized.groupBy("__units", "__block").count().select(
+            "__units", "__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset")
         )
-        sized = sized.join(offsets, ["part_size", "__block"])
+        sized = sized.join(offsets, ["__units", "__block"])
     else:
         sized = sized.withColumn("__offset", F.lit(0).cast("long"))
-    within = Window.partitionBy("part_size", "__block").orderBy(key, "part_no")
+    within = Window.partitionBy("__units", "__block").orderBy(key, "part_no")
     ranked = sized.withColumn("__rank", F.row_number().over(within) - 1 + F.col("__offset"))
-    # The plan has no more rows than sizes and capacity allow, however many items there are.
+    # The plan's rows follow from the units of a container, however many items there are; a plan longer than expected is joined by size.
     steps = spark.createDataFrame(plan, "__size int, __from long, __to long, __first long, __per long")
     placed = ranked.join(
-        F.broadcast(steps),
-        (F.col("part_size") == F.col("__size")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")),
+        F.broadcast(steps) if len(plan) <= PLAN_ROWS else steps,
+        (F.col("__units") == F.col("__size")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")),
     ).select(key, "part_no", "part_size", F.expr("__first + (__rank - __from) div __per").alias("container"))
     return placed.unionByName(items.where("part_size = 0").withColumn("container", F.lit(None).cast("long")))
 
 
+def packing_checks(packed: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
+    """One row on a packing: its keys, and how often each of its rules is broken.
+
+    ``overfull`` containers hold more than the capacity, ``homeless`` parts of a size have no container and ``housed`` ones without a
+    size have one, ``split`` keys have several parts although they fit one container, ``torn`` keys lack a part or have a part before the last that
+    is not full; ``close`` says that the containers are at most 1 % and one above the least possible number.
+    """
+    fill = packed.where("container is not null").groupBy("container").agg(F.sum("part_size").alias("size"))
+    held = fill.agg(F.count_if(F.col("size") > capacity).alias("overfull"), F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"))
+    whole = packed.groupBy(key).agg(
+        F.count(F.lit(1)).alias("parts"), F.max("part_no").alias("last"), F.sum("part_size").alias("size"), F.count_if(F.col("part_size") == capacity).alias("full"),
+        F.count_if(F.col("container").isNull() & (F.col("part_size") > 0)).alias("homeless"), F.count_if(F.col("container").isNotNull() & (F.col("part_size") == 0)).alias("housed"),
+    )
+    torn = (F.col("parts") != F.col("last") + 1) | (F.col("full") < F.col("parts") - 1)
+    keys = whole.agg(
+        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("homeless"), F.lit(0)).alias("homeless"), F.coalesce(F.sum("housed"), F.lit(0)).alias("housed"),
+        F.count_if((F.col("parts") > 1) & (F.col("size") <= capacity)).alias("split"), F.count_if(torn).alias("torn"),
+    )
+    close = F.col("containers") <= 1.01 * F.ceil(F.col("tokens") / capacity) + 1
+    return keys.crossJoin(held).select("documents", "overfull", "homeless", "housed", "split", "torn", close.alias("close"))  # two single rows
+
+
 def packing_report(packed: DataFrame, capacity: int, part_size: str = "part_size") -> DataFrame:
     """Containers, tokens, the least possible number of containers and the share of room that is filled."""
     return packed.agg(

@@ -67,6 +67,29 @@ def test_pack(spark, monkeypatch, block):
     assert r.containers == r.least_containers == len(fill)
 
 
+@pytest.mark.parametrize("grid", [7, 10, 33])
+def test_capacity_beyond_the_grid(spark, monkeypatch, grid):
+    """Sizes planned in units: nothing overflows and nothing is lost, whether or not the units divide the capacity."""
+    monkeypatch.setattr(packing, "GRID", grid)
+    monkeypatch.setattr(packing, "PLAN_ROWS", grid)  # small plans are broadcast, the others joined
+    rng = random.Random(grid)
+    sizes = [rng.choice([1, 5, 33, 50, 99, 100, 101, 250, rng.randint(1, 100)]) for _ in range(300)] + [0, None]
+    got = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n_tokens int"), 100)
+    fill = Counter()
+    for r in got.collect():
+        if r.part_size:
+            fill[r.container] += r.part_size
+    assert max(fill.values()) <= 100 and sum(fill.values()) == sum(s or 0 for s in sizes) and None not in fill
+    r = packing.packing_checks(got, 100).first()
+    assert (r.documents, r.overfull, r.homeless, r.housed, r.split, r.torn) == (302, 0, 0, 0, 0, 0)
+
+
+def test_checks_find_what_is_wrong(spark):
+    rows = [(1, 0, 8, 1), (2, 0, 8, 1), (3, 0, 5, None), (4, 0, 0, 7), (5, 0, 3, 2), (5, 1, 3, 3), (6, 1, 10, 4), (7, 0, 10, 5), (7, 1, 2, 6)]
+    r = packing.packing_checks(spark.createDataFrame(rows, "doc_id int, part_no int, part_size int, container bigint"), 10).first()
+    assert (r.documents, r.overfull, r.homeless, r.housed, r.split, r.torn) == (7, 1, 1, 1, 1, 2)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     assert packing.pack(df, 10).count() == 0
