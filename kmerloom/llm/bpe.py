@@ -175,7 +175,7 @@ def encode_corpus(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str
             ends = [0]
             for value in batch.column(1).to_pylist():
                 if value:
-                    for chunk in chunks(value):
+                    for chunk in chunks(clean(value)):
                         flat += table[chunk]
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(np.array(flat, dtype=np.int32)))
@@ -185,6 +185,20 @@ def encode_corpus(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def decode_corpus(df: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """``(key, text)``: the texts that lists of ids stand for; an id that is not in the file is an error."""
+    shipped = ship_ranks(df.sparkSession, ranks_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = {rank: token for token, rank in encoder_of(shipped.value).ranks.items()}
+        for batch in batches:
+            texts = [b"".join([bytes_of[i] for i in value or ()]).decode("utf-8", "replace") for value in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+
+
 def count_corpus(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_tokens BIGINT)`` for every row of ``df``."""
     shipped = ship_ranks(df.sparkSession, ranks_path)
@@ -193,7 +207,7 @@ def count_corpus(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str
         table = encoder_of(shipped.value)
         look, chunks = table.__getitem__, CHUNKS.findall
         for batch in batches:
-            sizes = [sum(map(len, map(look, chunks(value)))) if value else 0 for value in batch.column(1).to_pylist()]
+            sizes = [sum(map(len, map(look, chunks(clean(value))))) if value else 0 for value in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=[key, "n_tokens"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..durable import spread, table, unique_rows
+from ..durable import materialise, spread, table, unique_rows
 from . import bpe, frequency, heavy, overlap, packing, spans
 
 #: Folder of the public tokenizers' files.
@@ -48,7 +48,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 100 k-mers with the largest summed counts."""
-    return heavy.most_frequent(counted_rows(spark, sf_dir), "kmer_bits", "cnt", k=100)
+    rows = table(spark, sf_dir, "sample_counts").where("sample_idx is not null")
+    return heavy.most_frequent(rows, "kmer_bits", "cnt", k=100, identity=[c for c in rows.columns if c not in ("kmer_bits", "cnt")])
 
 
 def p5_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(documents(spark, sf_dir, "doc_id", "text"), BYTE_BPE)
 
 
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids decoded again: the hash of the text, its length, and whether there are any ids."""
+    ids = p6_ids(spark, sf_dir)
+    decoded = bpe.decode_corpus(ids.select("doc_id", "ids"), BYTE_BPE)
+    return decoded.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.length("text").alias("n_chars"), (F.col("text") != "").alias("any_ids"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, or part of an oversize one, with its container."""
     sizes = bpe.count_corpus(documents(spark, sf_dir, "doc_id", "text"), BYTE_BPE)
@@ -78,6 +86,11 @@ def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p7_containers(spark, sf_dir), CAPACITY)
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every document is packed, by the rules, in close to the least number of containers."""
+    return packing.packing_checks(materialise(p7_containers(spark, sf_dir), "packed"), CAPACITY)
+
+
 def shared_spans(spark: SparkSession, sf_dir: str) -> spans.SharedSpans:
     return spans.SharedSpans(spread(table(spark, sf_dir, "documents", "doc_id", "text")), SHARED_RUN)
 
@@ -98,7 +111,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p3_found, p3_overlaps, p4_found, p4_top, p5_found, p5_words, p6_ids, p7_containers, p7_filling, p8_found, p8_spans, p8_share)
+    own = (p3_found, p3_overlaps, p4_found, p4_top, p5_found, p5_words, p6_ids, p6_round_trip, p7_containers, p7_filling, p7_checked, p8_found, p8_spans, p8_share)
     return {f.__name__: f for f in own}
 
 
@@ -139,6 +152,9 @@ def oracle_sql() -> dict[str, str]:
         "p4_top": f"WITH {_COUNTED} SELECT kmer_bits, total FROM totals ORDER BY total DESC, kmer_bits LIMIT 100",
         "p5_found": f"WITH {_WORDS} SELECT word, mark FROM marked WHERE mark IS NOT NULL",
         "p5_words": f"WITH {_WORDS} SELECT * FROM marked",
+        "p6_round_trip": """SELECT doc_id, md5(coalesce(text, '')) AS md5, coalesce(length(text), 0)::INT AS n_chars, coalesce(text, '') <> '' AS any_ids
+            FROM (SELECT DISTINCT doc_id, text FROM documents)""",
+        "p7_checked": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS homeless, 0::BIGINT AS housed, 0::BIGINT AS split, 0::BIGINT AS torn, true AS close FROM documents",
         "p8_found": f"WITH {_RUNS}, d AS (SELECT DISTINCT doc_id, run FROM held) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM d a JOIN d b ON a.run = b.run AND a.doc_id < b.doc_id",
         "p8_spans": f"WITH {_RUNS} SELECT * FROM spans",
         "p8_share": f"""WITH {_RUNS}, s AS (SELECT doc_id, sum(span_stop - span_start)::BIGINT AS n FROM spans GROUP BY 1)

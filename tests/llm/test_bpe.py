@@ -34,11 +34,21 @@ def test_same_as_library(both, parts):
     assert both[0].encode(text) == both[1].encode_ordinary(text)
 
 
-def test_long_words(both):
-    for word in ("ab" * 2000, "x" * 5000, "the" * 100, "日本語" * 300, "aAbB" * 70):
-        assert both[0].encode(word) == both[1].encode_ordinary(word)
-        raw = word.encode()
-        assert bpe._merge_long(raw, both[0].ranks) == bpe.merge_word(raw[:], both[0].ranks)
+def test_long_words(both, monkeypatch):
+    """Beyond LONG_WORD a heap gives what the scan gives."""
+    words = ["ab" * 2000, "x" * 5000, "the" * 100, "日本語" * 300, "aAbB" * 70]
+    by_heap = [both[0].encode(w) for w in words]
+    assert by_heap == [both[1].encode_ordinary(w) for w in words]
+    monkeypatch.setattr(bpe, "LONG_WORD", 1 << 30)
+    short = [w for w in words if len(w) < 1000]
+    assert [bpe._merge_long(w.encode(), both[0].ranks) for w in short] == [bpe.merge_word(w.encode(), both[0].ranks) for w in short]
+
+
+def test_round_trip(spark):
+    texts = [None, "", " \r\n", "Na ja… 日本語 😀 ﻿x", "a" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    back = bpe.decode_corpus(bpe.encode_corpus(df, BYTE_BPE), BYTE_BPE)
+    assert {r.doc_id: r.text for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
 def test_edges(both):
