@@ -4,6 +4,8 @@
 AA28 = "ARNDCQEGHILKMFPSTWYVOUBJZX*-"
 #: Amino acids of the 64 codons of the standard genetic code (fixed value), index 16*b1 + 4*b2 + b3 with A0 C1 G2 T3.
 CODON64 = "KNKNTTTTRSRSIIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSS*CWCLFLF"
+#: The same of the vertebrate mitochondrial code (fixed value).
+MITOCHONDRIAL64 = "KNKNTTTT*S*SMIMIQHQHPPPPRRRRLLLLEDEDAAAAGGGGVVVV*Y*YSSSSWCWCLFLF"
 BITS_PER_RESIDUE = 5
 #: Longest k-mer whose packed key is a non-negative BIGINT.
 MAX_RESIDUES = 12

@@ -32,6 +32,19 @@ def running_offsets(df: DataFrame, size: str, *keys: str) -> DataFrame:
     return spread.join(F.broadcast(totals), "__part").withColumn("first", first).drop("__part", "__offset")
 
 
+def closed_offsets(df: DataFrame, size: str, *keys: str) -> DataFrame:
+    """``(i, first)`` for i from 1 to n + 1: where the entries of the ith row begin, and at last where all of them end."""
+    placed = materialise(with_position(running_offsets(df, size, *keys), *keys, name="i"), "offsets")
+    end = placed.agg((F.count(F.lit(1)) + 1).alias("i"), (F.coalesce(F.sum(size), F.lit(0)) + 1).alias("first"))
+    return placed.select("i", "first").unionByName(end)
+
+
+def offset_sizes(offsets: DataFrame) -> DataFrame:
+    """``(i, n)``: the sizes that offsets ``(i, first)``, closed by their last entry, came from; each meets its successor by a join."""
+    after = offsets.select((F.col("i") - 1).alias("i"), F.col("first").alias("__next"))
+    return offsets.join(after, "i").select("i", (F.col("__next") - F.col("first")).alias("n"))
+
+
 def key_deltas(df: DataFrame, key: str = "kmer_bits") -> DataFrame:
     """``(key, delta)``: the difference to the key before, by range partition; the first key has a null delta."""
     spread = materialise(df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("__part", F.spark_partition_id()), "keys")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..constants import AA28, CODON64
+from ..constants import AA28, CODON64, MITOCHONDRIAL64
 from ..durable import materialise, shared_dir, spread, table, unique_rows
 from ..functions import attributes, biotypes, kmers, vectorised
 from ..operators import counting, genomic_index, metrics, peptides, positions
@@ -195,6 +195,27 @@ def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.running_offsets(rows, "n", "kmer_bits")
 
 
+def csr_offsets_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of the packed rows with the entry that closes the last one: one more than there are rows."""
+    rows = packed_rows(spark, sf_dir).where("kmer_bits is not null").select("kmer_bits", F.coalesce(F.col("n_cids").cast("long"), F.lit(0)).alias("n"))
+    return positions.closed_offsets(rows, "n", "kmer_bits")
+
+
+def offset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of words per row again, as differences of the closed offsets."""
+    return positions.offset_sizes(csr_offsets_closed(spark, sf_dir))
+
+
+def kmer_count_other_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mers per sample by another genetic code."""
+    return counting.count_kmers(reads(spark, sf_dir), K, code=MITOCHONDRIAL64)
+
+
+def kmer_count_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mers of another length."""
+    return counting.count_kmers(reads(spark, sf_dir), 18)
+
+
 def key_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.key_deltas(cohort(spark, sf_dir).keys)
 
@@ -323,7 +344,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OWN = (
     read_filter, frame_translate, kmerize_dna, kmerize_aa, encode5_decode5, kmer_count_by_sample, kmer_count_two_level, sample_count_table,
     count_matrix_wide, push_full_outer, push_samples, count_vectors_packed, kmer_position, kmer_slice, kmer_gather, lookup_batch, point_lookup, prefix_index, stored_counts, twobit_codes,
-    csr_offsets, key_deltas, collapse_dictionary, collapse_references, prefix_bucket, shared_vectors, gtf_attrs, gff3_attrs, fasta_header_fields, tid_biotype_last_wins, biotype_bits,
+    csr_offsets, csr_offsets_closed, offset_sizes, kmer_count_other_code, kmer_count_six, key_deltas, collapse_dictionary, collapse_references, prefix_bucket, shared_vectors, gtf_attrs, gff3_attrs, fasta_header_fields, tid_biotype_last_wins, biotype_bits,
     genomic_index_masks, add_biotypes, annotated_matrix, biotype_names, has_biotype, mask_pool, intergenic_tally, peptide_hits, sample_totals,
     cardinality_growth, elapsed_times, component_sizes, stream_ingest,
 )
@@ -403,6 +424,14 @@ ORACLE = {
     "twobit_codes": f"WITH {_READS} SELECT rec_id, translate(dna, 'ACGT', '0123') AS codes FROM usable",
     "prefix_index": f"WITH {_COUNTS} SELECT kmer_bits >> 20 AS prefix, min(pos) AS first_pos, max(pos) AS last_pos FROM placed GROUP BY 1",
     "csr_offsets": f"WITH {_PACKED} SELECT kmer_bits, coalesce(n_cids, 0)::BIGINT AS n, (1 + coalesce(sum(coalesce(n_cids, 0)) OVER (ORDER BY kmer_bits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first FROM packed WHERE kmer_bits IS NOT NULL",
+    "csr_offsets_closed": f"""WITH {_PACKED}, p AS (SELECT row_number() OVER (ORDER BY kmer_bits) AS i, sum(coalesce(n_cids, 0)) OVER (ORDER BY kmer_bits) AS upto FROM packed WHERE kmer_bits IS NOT NULL)
+        SELECT i + 1 AS i, (upto + 1)::BIGINT AS first FROM p UNION ALL SELECT 1, 1""",
+    "offset_sizes": f"WITH {_PACKED} SELECT row_number() OVER (ORDER BY kmer_bits) AS i, coalesce(n_cids, 0)::BIGINT AS n FROM packed WHERE kmer_bits IS NOT NULL",
+    "kmer_count_other_code": f"WITH {_WINDOWS.replace(CODON64, MITOCHONDRIAL64)} SELECT * FROM keyed",
+    "kmer_count_six": f"""WITH {_READS}, windows AS (SELECT sample_idx, substr(dna, s::INT + 1, 18) AS w FROM (SELECT sample_idx, dna, unnest(range(0, length(dna) - 17)) AS s
+          FROM (SELECT month(loaded_at)::INT AS sample_idx, translate(upper(seq), 'U', 'T') AS dna FROM reads WHERE length(seq) >= 18 AND regexp_full_match(seq, '{_DNA}')))),
+        peps AS (SELECT sample_idx, {_peptide('w', '6')} AS kmer FROM windows), counted AS (SELECT sample_idx, kmer, count(*) AS cnt FROM peps WHERE NOT contains(kmer, '*') GROUP BY 1, 2)
+        SELECT sample_idx, {_PACK('kmer').replace(f'range(1, {RESIDUES + 1})', 'range(1, 7)')} AS kmer_bits, kmer, cnt FROM counted""",
     "key_deltas": f"WITH {_COUNTS} SELECT kmer_bits, kmer_bits - lag(kmer_bits) OVER (ORDER BY kmer_bits) AS delta FROM keys",
     "collapse_dictionary": f"WITH {_COUNTS}, {_WIDE}, d AS (SELECT counts, count(*) AS n_keys FROM vectors GROUP BY 1) SELECT row_number() OVER (ORDER BY counts) AS vector_id, array_to_string(counts, ',') AS counts, n_keys FROM d",
     "collapse_references": f"WITH {_COUNTS}, {_WIDE} SELECT kmer_bits, dense_rank() OVER (ORDER BY counts) AS vector_id FROM vectors",

@@ -125,30 +125,33 @@ def _reader(names: dict[str, str], starts: dict[tuple[str, int], tuple[int, int]
     return run
 
 
-def _given_names(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """By the name the scan gives a file: the path it was asked for by. Folders and patterns keep the scan's names."""
+def _given_names(spark: SparkSession, paths: list[str], everything: bool) -> dict[str, str]:
+    """By the name the scan gives a file: the path it was asked for by; of folders and patterns only if ``everything`` is wanted."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
     found = {}
     for p in paths:
         jpath = hadoop(p)
         fs = jpath.getFileSystem(conf)
         for status in fs.globStatus(jpath) or []:
-            if not status.isDirectory():
-                exact = jpath.getName() == status.getPath().getName()
-                uri = spark._jvm.org.apache.spark.paths.SparkPath.fromFileStatus(status).urlEncoded()
-                if exact:  # a local file is written with one slash or with three
-                    found[uri] = found[uri.replace("file:///", "file:/")] = p
+            if status.isDirectory():
+                held = [x for x in fs.listStatus(status.getPath()) if not x.isDirectory()] if everything else []
+            else:
+                held = [status] if everything or jpath.getName() == status.getPath().getName() else []
+            for x in held:  # a local file is written with one slash or with three
+                uri = spark._jvm.org.apache.spark.paths.SparkPath.fromFileStatus(x).urlEncoded()
+                found[uri] = found[uri.replace("file:///", "file:/")] = p
     return found
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str], *, strict: bool = False) -> DataFrame:
+def read_fastq(spark: SparkSession, paths: str | list[str], *, strict: bool = False, as_given: bool = False) -> DataFrame:
     """``(path, read_idx, seq)`` of files, folders, patterns or URIs that Spark can read.
 
-    A blank header line ends a file, or is an error if ``strict``; a missing '+' is an error. ``path`` is the path as it was given where it names one file, else the file's own. A last record
+    A blank header line ends a file, or is an error if ``strict``; a missing '+' is an error. ``path`` is the path as it was given where it names one file, or always if
+    ``as_given`` (folders without folders in them), else the file's own. A last record
     without its quality line is a record.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    names = _given_names(spark, paths)
+    names = _given_names(spark, paths, as_given)
     lines = _lines(spark, paths)
     splits = materialise(lines.where(~F.lower("file").endswith(".gz")).mapInArrow(_survey, "file string, block bigint, lines bigint, blank array<bigint>, edge array<struct<i: bigint, line: string>>"), "splits")
     order = Window.partitionBy("file").orderBy("block")  # one row per split

@@ -1,6 +1,6 @@
 """Samples that arrive over time.
 
-Every micro-batch writes the partitions of the samples it brings; a replayed batch writes the same
+Every micro-batch writes the rows it brings into a folder of its own; a replayed batch writes the same
 rows to the same place, so each counts once. No event time bounds a sample, so the state is the
 table itself.
 """
@@ -36,11 +36,26 @@ def ingested(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("kmer_bits", "sample_idx").agg(F.sum("cnt").alias("cnt"))
 
 
-def ingest_reads(stream: DataFrame, path: str, k: int, *, checkpoint: str) -> None:
-    """Count the k-mers of reads ``(sample_idx, seq)`` as their files arrive, one partition per batch."""
+def ingest_reads(stream: DataFrame, path: str, k: int, *, checkpoint: str, read_id: str | None = None) -> None:
+    """Count the k-mers of reads ``(sample_idx, seq)`` as their files arrive, one folder per batch.
+
+    With ``read_id`` a read that arrives again, in the same batch or a later one, is not counted again: the ids taken in so far are kept
+    beside the counts, and a batch is compared with those of the batches before it. Reads without an id are all counted.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        counted = count_kmers(batch, k).select("kmer_bits", "sample_idx", "cnt")
+        spark = batch.sparkSession
+        new = batch
+        if read_id:
+            named = batch.where(F.col(read_id).isNotNull()).dropDuplicates(["sample_idx", read_id])
+            there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/ids")
+            if batch_id > 0 and there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+                earlier = spark.read.option("basePath", f"{path}/ids").parquet(f"{path}/ids").where(F.col("batch_id") < batch_id)  # not those of a first try of this batch
+                same = (named["sample_idx"].eqNullSafe(earlier["sample_idx"])) & (named[read_id] == earlier[read_id])
+                named = named.join(earlier, same, "left_anti")
+            named.select("sample_idx", read_id).write.mode("overwrite").parquet(f"{path}/ids/batch_id={batch_id}")
+            new = named.unionByName(batch.where(F.col(read_id).isNull()))
+        counted = count_kmers(new, k).select("kmer_bits", "sample_idx", "cnt")
         counted.write.mode("overwrite").parquet(f"{path}/batches/batch_id={batch_id}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

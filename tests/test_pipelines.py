@@ -5,6 +5,7 @@ import struct
 import numpy as np
 import pytest
 
+from kmerloom.operators import metrics
 from kmerloom.plans import pipelines
 from kmerloom.sources import legacy, store
 
@@ -58,7 +59,7 @@ FILES = {
 
 
 @pytest.mark.parametrize("version", FILES)
-def test_legacy(spark, tmp_path, version):
+def test_legacy(spark, tmp_path, monkeypatch, version):
     p = tmp_path / "old.bin"
     p.write_bytes(struct.pack("<d", version) + ints(10) + FILES[version])
     t = legacy.read_legacy(str(p))
@@ -67,11 +68,42 @@ def test_legacy(spark, tmp_path, version):
     assert [r.kmer_bits for r in rows] == ([5, 9, 70] if version in (1.2, 1.3) else [None] * 3)
     assert [r.n_words for r in rows] == ([None] * 3 if version == 1.0 else [1, 0, 2])
     assert [r.biotype_mask for r in rows] == ([1, 2, 2] if version in (1.0, 2.0, 3.0) else [None] * 3)
+    monkeypatch.setattr(legacy, "CHUNK", 2)
+    assert [tuple(r) for r in legacy.legacy_rows(spark, str(p)).orderBy("pos").collect()] == [tuple(r) for r in rows]
+    if version == 1.0:
+        with pytest.raises(ValueError, match="no counts"):
+            legacy.legacy_words(spark, str(p))
+    else:
+        assert [tuple(r) for r in legacy.legacy_words(spark, str(p)).orderBy("pos", "slot").collect()] == [(1, 1, 1), (3, 1, 1), (3, 2, 2)]
+    assert t.unreadable == {1.0: ["delta-coded keys"], 1.2: ["packed count words"], 1.3: ["packed count words"]}.get(version, ["delta-coded keys", "packed count words"])
     p.write_bytes(p.read_bytes()[:-1])
     with pytest.raises(ValueError):
         legacy.read_legacy(str(p))
 
 
+def test_figures_during_a_build(spark, tmp_path):
+    """Figures and dictionaries of the first samples, plots from the history, and a sample that is a folder."""
+    (tmp_path / "a").mkdir()
+    paths = [str(tmp_path / "a"), fastq(tmp_path / "b.fq", ["GCCTTT", "ATGGCC"]), fastq(tmp_path / "c.fq", ["GCCTTT" * 3])]
+    fastq(tmp_path / "a" / "1.fq", ["ATGGCCTTT"])
+    fastq(tmp_path / "a" / "2.fq", ["ATGGCC"])
+    history, out = str(tmp_path / "h.json"), str(tmp_path / "out")
+    t = pipelines.build_kmer_table(spark, paths, 6, compact_every=2, save_path=out, benchmark_every=1, history=history)
+    assert {r.kmer_bits: r.counts for r in t.wide().collect()}[384] == [2, 1, 0]
+    assert spark.read.parquet(f"{out}/collapsed_n=2/references").count() == 4 and spark.read.parquet(f"{out}/collapsed_n=2/dictionary").count() == 3
+    runs = metrics.load_history(history)
+    assert [r["samples"] for r in runs] == [1, 2, 3] and runs[0]["n_kmers"] == 4
+    figures = {"samples", "timestamp", "n_kmers", "kmer_seq_bytes", "checkpoints_bytes", "deltas_bytes", "regular_cp_idx_bytes", "chunk_ids_bytes", "n_cids_bytes", "count_words_bytes", "bitmap_bytes", "query_time_ms"}
+    assert figures <= set(runs[0])
+    rows = metrics.plot_rows(spark.createDataFrame([{k: r[k] for k in figures} for r in runs]))
+    assert {r.plot for r in rows.select("plot").distinct().collect()} == {*metrics.PLOTS, "elapsed_time"}
+    assert rows.where("plot = 'component_sizes'").count() == 5
+    written = metrics.write_plots(rows, str(tmp_path / "plots"))
+    assert len(written) == 7 and all(open(p).read().endswith("</svg>") for p in written)
+    with pytest.raises(ValueError):
+        pipelines.build_kmer_table(spark, paths, 6, benchmark_every=1)
+
+
 def test_public_names():
     import kmerloom
 

@@ -206,3 +206,15 @@ def test_last_line_wins_over_files_by_name(spark, tmp_path):
     write(tmp_path / "x.gtf" / "part-0", line.format("a") + line.format("b") + line.format("c") * 50)
     write(tmp_path / "x.gtf" / "part-1", line.format("d"))
     assert files.read_transcript_biotypes(spark, str(tmp_path / "x.gtf")).first().biotype == "d"
+
+
+def test_reads_that_arrive_again_count_once(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "sample_idx int, id string, seq string"
+    spark.createDataFrame([(1, "a", "ATGGCC"), (1, "a", "ATGGCC"), (1, "b", "ATGGCC"), (1, None, "ATGGCC")], schema).write.parquet(source)
+    take = lambda: ingest.ingest_reads(spark.readStream.schema(schema).parquet(source), out, 6, checkpoint=str(tmp_path / "c"), read_id="id")
+    take()
+    spark.createDataFrame([(1, "b", "ATGGCC"), (2, "b", "ATGGCC"), (1, "c", "ATGGCC")], schema).write.mode("append").parquet(source)
+    take()
+    take()
+    assert sorted(map(tuple, ingest.ingested_reads(spark, out).collect())) == [(384, 1, 4), (384, 2, 1)]
