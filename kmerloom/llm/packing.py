@@ -184,8 +184,10 @@ def packing_checks(packed: DataFrame, capacity: int, key: str = "doc_id") -> Dat
         F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("homeless"), F.lit(0)).alias("homeless"), F.coalesce(F.sum("housed"), F.lit(0)).alias("housed"),
         F.count_if((F.col("parts") > 1) & (F.col("size") <= capacity)).alias("split"), F.count_if(torn).alias("torn"),
     )
+    rows = keys.unionByName(held, allowMissingColumns=True)  # two rows
+    one = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
     close = F.col("containers") <= 1.01 * F.ceil(F.col("tokens") / capacity) + 1
-    return keys.crossJoin(held).select("documents", "overfull", "homeless", "housed", "split", "torn", close.alias("close"))  # two single rows
+    return one.select("documents", "overfull", "homeless", "housed", "split", "torn", close.alias("close"))
 
 
 def packing_report(packed: DataFrame, capacity: int, part_size: str = "part_size") -> DataFrame:

@@ -39,6 +39,8 @@ from ..durable import materialise, wide_parallelism
 
 ANCHOR = 64
 SHARD_CLASSES = 256
+#: Classes for which one task builds automata, on average.
+TASK_CLASSES = 20_000
 BATCH_PIECES = 20_000
 #: Characters fingerprinted at once; the position must fit the low bits of a winnowing key.
 SEGMENT = 1 << 19
@@ -298,8 +300,9 @@ def _by_automata(classes: DataFrame, min_length: int, anchor: int) -> DataFrame:
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     schema = pa.schema([("h", pa.int64()), ("cls", pa.binary()), ("groups", pa.list_(pa.string())), ("spans", span)])
-    # A fixed number of partitions: their few bytes would else be joined into too few tasks for the work.
-    return classes.repartition(wide_parallelism(classes.sparkSession), "h").sortWithinPartitions("h").mapInArrow(run, CLASS_ROWS)
+    # Partitions by the number of classes: their few bytes would else be joined into too few tasks for the work.
+    parts = max(wide_parallelism(classes.sparkSession), -(-classes.count() // TASK_CLASSES))
+    return classes.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, CLASS_ROWS)
 
 
 def _classes(pieces: DataFrame) -> DataFrame:
