@@ -62,7 +62,8 @@ def packed_sizes(table) -> DataFrame:
     distinct = words.groupBy("word").agg(F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("d"))
     deltas = key_deltas(table.positions.select("kmer_bits")).join(table.positions, "kmer_bits")
     far = deltas.agg(F.count_if((F.col("delta") >= F.lit(1 << DELTA_BITS)) & ((F.col("pos") - 1) % CHECKPOINT_INTERVAL != 0)).alias("far"))
-    one = sums.crossJoin(distinct).crossJoin(far)  # three single rows
+    rows = sums.unionByName(distinct, allowMissingColumns=True).unionByName(far, allowMissingColumns=True)  # three rows
+    one = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
     # Words of zeros between a key's first and last are one distinct word more.
     d = F.col("d") + (F.col("words") > F.col("held")).cast("long")
     regular = F.expr(f"(n + {CHECKPOINT_INTERVAL - 1}) div {CHECKPOINT_INTERVAL}")
@@ -90,8 +91,7 @@ def plot_rows(history: DataFrame) -> DataFrame:
     hours = elapsed(history.select("samples", "timestamp"), "timestamp", "samples").select(
         "samples", (F.col("since_last") / 3600).alias("hours_since_last"), (F.col("since_first") / 3600).alias("hours_since_first")
     )
-    last = history.agg(F.max("samples").alias("__last"))
-    runs = history.join(hours, "samples").join(F.broadcast(last))
+    runs = history.join(hours, "samples").withColumn("__last", F.max("samples").over(Window.partitionBy()))
     points = []
     for plot, names in {**PLOTS, "elapsed_time": ("hours_since_last", "hours_since_first")}.items():
         for name in names:
@@ -137,16 +137,28 @@ def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.where(layer != "").groupBy(layer.alias("layer")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
-def load_history(path: str) -> list[dict]:
-    """The recorded runs, none if the file is missing."""
+def load_history(path: str, spark: SparkSession | None = None) -> list[dict]:
+    """The recorded runs, none if the file is missing; with a session the path may be of any file system that Spark knows."""
+    if spark:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+        return json.loads(spark.read.text(path, wholetext=True).first()[0]) if fs.exists(jpath) else []
     if not os.path.exists(path):
         return []
     with open(path) as f:
         return json.load(f)
 
 
-def append_history(path: str, entry: dict) -> list[dict]:
-    history = [*load_history(path), entry]
+def append_history(path: str, entry: dict, spark: SparkSession | None = None) -> list[dict]:
+    """The recorded runs with one more, which are written in place of the file; one writer at a time."""
+    history = [*load_history(path, spark), entry]
+    text = json.dumps(history, indent=2)
+    if spark:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(jpath, True)
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+        return history
     with open(path, "w") as f:
-        json.dump(history, f, indent=2)
+        f.write(text)
     return history

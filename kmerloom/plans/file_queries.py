@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..constants import AA28, FORMAT_VERSION
 from ..durable import fresh_path, materialise, remove_at_exit, spread, table, unique_rows
 from ..functions import attributes
-from ..operators import genomic_index, metrics
+from ..functions.kmers import geometry
+from ..operators import metrics
 from ..operators.table import KmerTable
 from ..sources import files, store
 from . import pipelines
-from .kmer_queries import _ANNOTATED, _ANNOTATION, _COUNTS, K, RESIDUES, annotated_reads, cohort, reads, text, transcripts
+from .kmer_queries import _ANNOTATED, _ANNOTATION, _COUNTS, _UNPACK, _WIDE, _WINDOWS, K, RESIDUES, annotated_reads, cohort, reads, text, transcripts
 
 #: Letters of a sequence line.
 LINE = 60
@@ -199,6 +200,39 @@ def table_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("wrong", wrong).agg(F.count(F.lit(1)).alias("n_kmers"), F.count_if("wrong").alias("out_of_order"))
 
 
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the table with their positions, keys as text."""
+    return cohort(spark, sf_dir).rows().select("pos", "kmer_bits", "kmer", text("counts").alias("counts"))
+
+
+def layer_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers that written tables say they have: none, counts, biotypes, both."""
+    both = annotated_reads(spark, sf_dir)
+    tables = {"none": KmerTable(RESIDUES, bare=both.keys), "counts": KmerTable(RESIDUES, both.counts, samples=12), "biotypes": KmerTable(RESIDUES, masks=both.masks, names=both.names), "both": both}
+    rows = []
+    for name, t in tables.items():
+        path = _stored(spark, t)
+        rows.append((name, store.read_meta(spark, path)["layers_mask"], store.load_table(spark, path).length()))
+    return spark.createDataFrame(rows, "layers string, layers_mask int, n_kmers bigint")
+
+
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys after every sample, recorded run by run and read back."""
+    path = f"{fresh_path(spark, 'history')}.json"
+    runs = metrics.cardinality_growth(cohort(spark, sf_dir).counts).orderBy("sample_idx").collect()  # one row per sample
+    for r in runs:
+        metrics.append_history(path, {"samples": r.sample_idx, "n_kmers": r.unique_kmers}, spark)
+    remove_at_exit(spark, path)
+    back = metrics.load_history(path, spark)
+    return spark.createDataFrame([(i, r["samples"], r["n_kmers"]) for i, r in enumerate(back, 1)], "run int, samples int, n_kmers bigint")
+
+
+def key_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the residues of keys of up to forty residues lie in words of 64 bits."""
+    rows = [(n, i, *(geometry(n, i)[c] for c in ("words", "offset", "word", "shift", "straddles"))) for n in range(1, 41) for i in range(1, n + 1)]
+    return spark.createDataFrame(rows, "residues int, i int, words int, offset int, word int, shift int, straddles int")
+
+
 def sampled_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys drawn with replacement and looked up: whether any was drawn, and how many were not found."""
     t = cohort(spark, sf_dir)
@@ -206,8 +240,8 @@ def sampled_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.lookup(drawn).agg((F.count(F.lit(1)) > 0).alias("any_drawn"), F.count_if(F.col("pos") == 0).alias("missed"))
 
 
-def build_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples, transcripts and annotation written as files, and the annotated table built from these."""
+def _sample_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """A folder of FASTQ files per month of loading, an empty one for a month without reads."""
     rows = reads(spark, sf_dir).where("sample_idx is not null")
     folder = f"{fresh_path(spark, 'samples')}.d"
     fastq_lines(spread(rows), "sample_idx").write.partitionBy("sample_idx").text(folder)
@@ -216,7 +250,21 @@ def build_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in range(1, 13):
         if i not in there:
             spark.createDataFrame([], "value string").write.text(f"{folder}/sample_idx={i}")
-    t = pipelines.build_kmer_table(spark, [f"{folder}/sample_idx={i}" for i in range(1, 13)], K)
+    return [f"{folder}/sample_idx={i}" for i in range(1, 13)]
+
+
+def saved_in_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of the first six samples as it was saved while the table of all was built."""
+    out = fresh_path(spark, "saved")
+    pipelines.build_kmer_table(spark, _sample_files(spark, sf_dir), K, save_at=[6], save_path=out)
+    remove_at_exit(spark, out)
+    path = next(str(s.getPath().toString()) for s in spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(out)))
+    return store.load_table(spark, path).wide().select("kmer_bits", text("counts").alias("counts"))
+
+
+def build_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples, transcripts and annotation written as files, and the annotated table built from these."""
+    t = pipelines.build_kmer_table(spark, _sample_files(spark, sf_dir), K)
     fasta = _write(fasta_lines(transcripts(spark, sf_dir), False), "fa")
     gtf = _write(gtf_lines(annotation_rows(spark, sf_dir).where("deleted_at is null")), "gtf")
     index = pipelines.build_genomic_index(spark, fasta, gtf, K)
@@ -241,7 +289,7 @@ def plot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OWN = (
     file_fastq, file_fasta, file_gtf, file_gff3, file_mzid, file_gz, gff3_biotypes, stripped_biotypes, table_round_trip, table_meta, table_order,
-    sampled_lookups, build_from_files, packed_sizes, plot_rows,
+    table_rows, layer_masks, run_history, key_geometry, sampled_lookups, saved_in_build, build_from_files, packed_sizes, plot_rows,
 )
 QUERIES = {f.__name__: f for f in _OWN}
 
@@ -275,6 +323,16 @@ ORACLE = {
         SELECT kmer_bits, array_to_string(list_transform(range(1, 13), lambda i: coalesce(m[i::INT], 0)), ',') AS counts, biotype_mask FROM h JOIN annotated USING (kmer_bits)""",
     "table_meta": f"WITH {_COUNTS} SELECT {FORMAT_VERSION}::DOUBLE AS format_version, {RESIDUES}::INT AS residues, '{AA28}' AS alphabet, 1::INT AS layers_mask, count(*) AS n_kmers, max(n)::INT AS samples FROM keys, n",
     "table_order": f"WITH {_COUNTS} SELECT count(*) AS n_kmers, 0::BIGINT AS out_of_order FROM keys",
+    "table_rows": f"WITH {_COUNTS}, {_WIDE} SELECT pos, kmer_bits, {_UNPACK('kmer_bits')} AS kmer, array_to_string(counts, ',') AS counts FROM placed JOIN vectors USING (kmer_bits)",
+    "layer_masks": f"WITH {_ANNOTATED} SELECT layers, layers_mask::INT AS layers_mask, (SELECT count(*) FROM annotated) AS n_kmers FROM (VALUES ('none', 0), ('counts', 1), ('biotypes', 2), ('both', 3)) t(layers, layers_mask)",
+    "run_history": f"""WITH {_COUNTS}, f AS (SELECT kmer_bits, min(sample_idx) AS sample_idx FROM counts GROUP BY 1), g AS (SELECT sample_idx, count(*) AS n FROM f GROUP BY 1)
+        SELECT (row_number() OVER (ORDER BY sample_idx))::INT AS run, sample_idx AS samples, (sum(coalesce(n, 0)) OVER (ORDER BY sample_idx))::BIGINT AS n_kmers
+        FROM (SELECT DISTINCT sample_idx FROM counts) LEFT JOIN g USING (sample_idx)""",
+    "key_geometry": """WITH r AS (SELECT unnest(range(1, 41)) AS n), x AS (SELECT n, unnest(range(1, n + 1)) AS i, (5 * n + 63) // 64 AS w FROM r)
+        SELECT n::INT AS residues, i::INT AS i, w::INT AS words, (64 * w - 5 * n)::INT AS offset, (w - 1 - 5 * (n - i) // 64)::INT AS word, (5 * (n - i) % 64)::INT AS shift,
+          (5 * (n - i) % 64 > 59)::INT AS straddles FROM x""",
+    "saved_in_build": f"""WITH {_WINDOWS}, h AS (SELECT kmer_bits, map_from_entries(list({{'k': sample_idx, 'v': cnt}})) AS m FROM keyed WHERE sample_idx <= 6 GROUP BY 1)
+        SELECT kmer_bits, array_to_string(list_transform(range(1, 7), lambda i: coalesce(m[i::INT], 0)), ',') AS counts FROM h""",
     "sampled_lookups": f"WITH {_COUNTS} SELECT count(*) > 0 AS any_drawn, 0::BIGINT AS missed FROM keys",
     "build_from_files": f"""WITH {_QUOTED(_ANNOTATED)}, h AS (SELECT kmer_bits, map_from_entries(list({{'k': sample_idx, 'v': cnt}})) AS m FROM keyed WHERE sample_idx IS NOT NULL GROUP BY 1)
         SELECT kmer_bits, array_to_string(list_transform(range(1, 13), lambda i: coalesce(m[i::INT], 0)), ',') AS counts, biotype_mask FROM h JOIN annotated USING (kmer_bits)""",

@@ -84,10 +84,10 @@ def kmerize_dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stop-free pieces of the first frame's peptides, numbered."""
-    first = vectorised.frame_peptides(reads(spark, sf_dir), "seq", K, "rec_id").where("frame = 0")
-    pieces = first.select("rec_id", F.posexplode(F.split("peptide", r"\*", -1)).alias("i", "seq"))
-    return pieces.where(F.length("seq") >= RESIDUES).select(F.concat_ws(":", "rec_id", "i").alias("peptide_id"), "seq")
+    """Stop-free pieces of the peptides of all three frames, numbered."""
+    frames = vectorised.frame_peptides(reads(spark, sf_dir), "seq", K, "rec_id")
+    pieces = frames.select("rec_id", "frame", F.posexplode(F.split("peptide", r"\*", -1)).alias("i", "seq"))
+    return pieces.where(F.length("seq") >= RESIDUES).select(F.concat_ws(":", "rec_id", "frame", "i").alias("peptide_id"), "seq")
 
 
 def kmerize_aa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def encode5_decode5(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = keys.withColumn("kmer", kmers.unpack(F.col("kmer_bits"), RESIDUES))
     return keys.select(
         "kmer_bits", "kmer", kmers.pack(F.col("kmer"), RESIDUES).alias("packed"), kmers.binary_string(F.col("kmer_bits")).alias("binary"),
-        kmers.residue_code(F.col("kmer_bits"), 3, RESIDUES).cast("int").alias("third_code"),
+        text(F.array(*[kmers.residue_code(F.col("kmer_bits"), i, RESIDUES).cast("string") for i in range(1, RESIDUES + 1)])).alias("codes"),
     )
 
 
@@ -393,8 +393,9 @@ _INDEX = f"""{_ANNOTATION},
 _ANNOTATED = f"""{_WINDOWS}, {_INDEX},
   annotated AS (SELECT k.kmer_bits, coalesce(m.biotype_mask, 1) AS biotype_mask FROM (SELECT DISTINCT kmer_bits FROM keyed) k LEFT JOIN masks m USING (kmer_bits))"""
 _PEPTIDES = f"""{_READS},
-  pieces AS (SELECT rec_id, string_split({_peptide('dna', 'length(dna) // 3')}, '*') AS p FROM usable),
-  numbered AS (SELECT concat(rec_id, ':', i) AS peptide_id, p[i + 1] AS seq FROM (SELECT *, unnest(range(0, len(p))) AS i FROM pieces)),
+  frames AS (SELECT rec_id, f, substr(dna, f::INT + 1) AS d FROM (SELECT *, unnest(range(0, 3)) AS f FROM usable)),
+  pieces AS (SELECT rec_id, f, string_split({_peptide('d', 'length(d) // 3')}, '*') AS p FROM frames),
+  numbered AS (SELECT concat(rec_id, ':', f, ':', i) AS peptide_id, p[i + 1] AS seq FROM (SELECT *, unnest(range(0, len(p))) AS i FROM pieces)),
   peptides AS (SELECT * FROM numbered WHERE length(seq) >= {RESIDUES}),
   parts AS (SELECT peptide_id, i::INT AS i, substr(seq, i::INT + 1, {RESIDUES}) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - {RESIDUES} + 1)) AS i FROM peptides))"""
 
@@ -406,7 +407,7 @@ ORACLE = {
     "frame_translate": f"WITH {_READS} SELECT rec_id, f::INT AS frame, {_peptide('d', '(length(d)) // 3')} AS peptide FROM (SELECT rec_id, f, substr(dna, f::INT + 1) AS d FROM (SELECT *, unnest(range(0, 3)) AS f FROM usable))",
     "kmerize_dna": f"WITH {_READS} SELECT rec_id, s::INT AS at, substr(seq, s::INT + 1, {K}) AS kmer FROM (SELECT rec_id, seq, unnest(range(0, length(seq) - {K} + 1)) AS s FROM reads WHERE length(seq) >= {K} AND regexp_full_match(seq, '{_DNA}'))",
     "kmerize_aa": f"WITH {_PEPTIDES} SELECT peptide_id, i AS at, kmer FROM parts",
-    "encode5_decode5": f"WITH k AS (SELECT DISTINCT kmer_bits FROM sample_counts WHERE kmer_bits IS NOT NULL), d AS (SELECT kmer_bits, {_UNPACK('kmer_bits')} AS kmer FROM k) SELECT kmer_bits, kmer, {_PACK('kmer')} AS packed, lpad(bin(kmer_bits), 64, '0') AS binary, ((kmer_bits >> 35) & 31)::INT AS third_code FROM d",
+    "encode5_decode5": f"WITH k AS (SELECT DISTINCT kmer_bits FROM sample_counts WHERE kmer_bits IS NOT NULL), d AS (SELECT kmer_bits, {_UNPACK('kmer_bits')} AS kmer FROM k) SELECT kmer_bits, kmer, {_PACK('kmer')} AS packed, lpad(bin(kmer_bits), 64, '0') AS binary, array_to_string(list_transform(range(1, {RESIDUES + 1}), lambda i: (kmer_bits >> (5 * ({RESIDUES} - i))::INT) & 31), ',') AS codes FROM d",
     "kmer_count_by_sample": f"WITH {_WINDOWS} SELECT * FROM keyed",
     "kmer_count_two_level": f"WITH {_WINDOWS} SELECT sample_idx, kmer_bits, cnt FROM keyed",
     "sample_count_table": f"WITH {_COUNTS} SELECT * FROM counts",

@@ -75,5 +75,5 @@ def benchmark_table(table: KmerTable, history: str, *, probes: int = 100_000, se
     start = time.time()
     hits = table.lookup(drawn).where("pos > 0").count()
     entry = {"samples": table.samples, "timestamp": datetime.now().isoformat(), **sizes, "lookups": hits, "query_time_ms": round(1000 * (time.time() - start))}
-    metrics.append_history(history, entry)
+    metrics.append_history(history, entry, drawn.sparkSession if "://" in history else None)
     return entry
