@@ -17,11 +17,17 @@ rows count as often as they occur unless ``identity`` names the columns by which
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..durable import materialise
 
 LEVELS = (12, 22, 34)
+#: Bits of the first prefix beyond those that number the k values sought.
+SPARE_BITS = 7
 #: Retained prefixes up to this number travel as a literal list, more as a join.
 LITERALS = 5_000
 
@@ -60,23 +66,36 @@ def _kth_bound(rows: DataFrame, level: DataFrame, k: int):
     return max(best[-1][0], exact[-1] if len(exact) >= k else best[-1][0])
 
 
+def _candidates(rows: DataFrame, k: int) -> list:
+    """Up to 2k values that are likely of large total: of each Arrow batch those of the largest sums, summed over the batches."""
+    kind = rows.schema["__item"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            sums = np.bincount(coded.indices.to_numpy(zero_copy_only=False), weights=batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+            top = np.argpartition(sums, -k)[-k:] if len(sums) > k else np.arange(len(sums))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(top)), pa.array(sums[top])], names=["__item", "w"])
+
+    found = rows.select("__item", "__weight").mapInArrow(run, f"__item {kind}, w double")
+    return [r[0] for r in found.groupBy("__item").agg(F.sum("w").alias("w")).orderBy(F.desc("w")).limit(2 * k).select("__item").collect()]
+
+
 def _top_of_replayed(rows: DataFrame, item: str, k: int) -> DataFrame:
     """The ``k`` values of largest total, equal ``rows`` counting once, without removing the replays of all rows.
 
-    Replays only raise a prefix's sum, so sums over all rows are upper bounds still. The lower bound comes from the exact totals of the
-    values with the heaviest rows; only their rows, and those behind the prefixes retained at last, are made distinct.
+    Replays only raise a prefix's sum, so sums over all rows are upper bounds still. The lower bound is the kth largest of the exact
+    totals of some values; only their rows, and those behind the prefixes retained at last, are made distinct.
     """
-    left, bound = rows, None
-    for bits in LEVELS:
-        level = materialise(left.groupBy(_prefix(bits).alias("p")).agg(
-            F.sum("__weight").alias("total"), F.max("__weight").alias("most"), F.max_by("__item", "__weight").alias("heaviest")
-        ), "prefixes")
-        named = {r[0] for by in ("most", "total") for r in level.orderBy(F.desc(by)).limit(k).select("heaviest").collect()}  # at most 2k values
-        counted = rows.where(F.col("__item").isin(list(named))).distinct().groupBy("__item").agg(F.sum("__weight").alias("t"))
-        exact = [r[0] for r in counted.orderBy(F.desc("t")).limit(k).select("t").collect()]
-        if len(exact) == k:
-            bound = max(exact[-1], bound or 0)
-        kept = level if bound is None else level.where(F.col("total") >= F.lit(bound))
+    # The first prefixes must be many more than k, or what merely shares a prefix hides the values that do not count.
+    longer = max(0, (k - 1).bit_length() + SPARE_BITS - LEVELS[0])
+    counted = rows.where(F.col("__item").isin(_candidates(rows, k))).distinct().groupBy("__item").agg(F.sum("__weight").alias("t"))
+    exact = [r[0] for r in counted.orderBy(F.desc("t")).limit(k).select("t").collect()]
+    bound = exact[-1] if len(exact) == k else 1  # fewer values than k: all that count
+    left = rows
+    for bits in (min(b + longer, 56) for b in LEVELS):
+        level = left.groupBy(_prefix(bits).alias("p")).agg(F.sum("__weight").alias("total"))
+        kept = materialise(level.where(F.col("total") >= F.lit(bound)), "prefixes")
         left = _keep(left, bits, kept.select("p"))
         if kept.limit(4 * k + 1).count() <= 4 * k:
             break
