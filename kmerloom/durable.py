@@ -41,9 +41,9 @@ def _hadoop_path(spark: SparkSession, path: str):
     return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
+def fresh_path(spark: SparkSession, label: str, suffix: str = "") -> str:
     """A path in the shared folder that is not in use; removed with the open ``intermediates`` block, else see ``remove_at_exit``."""
-    path = f"{shared_dir(spark)}/kmerloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kmerloom/{label}-{uuid.uuid4().hex}{suffix}"
     if _OPEN:
         _OPEN[-1].append(path)
     return path

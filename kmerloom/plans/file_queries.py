@@ -27,7 +27,7 @@ LINE = 60
 def _write(lines: DataFrame, extension: str, **options) -> str:
     """The lines as a folder of text files whose name has the extension."""
     spark = lines.sparkSession
-    path = f"{fresh_path(spark, 'file')}.{extension}"
+    path = fresh_path(spark, "file", f".{extension}")
     lines.write.text(path, **options)
     remove_at_exit(spark, path)
     return path
@@ -218,7 +218,7 @@ def layer_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys after every sample, recorded run by run and read back."""
-    path = f"{fresh_path(spark, 'history')}.json"
+    path = fresh_path(spark, "history", ".json")
     runs = metrics.cardinality_growth(cohort(spark, sf_dir).counts).orderBy("sample_idx").collect()  # one row per sample
     for r in runs:
         metrics.append_history(path, {"samples": r.sample_idx, "n_kmers": r.unique_kmers}, spark)
@@ -243,7 +243,7 @@ def sampled_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sample_files(spark: SparkSession, sf_dir: str) -> list[str]:
     """A folder of FASTQ files per month of loading, an empty one for a month without reads."""
     rows = reads(spark, sf_dir).where("sample_idx is not null")
-    folder = f"{fresh_path(spark, 'samples')}.d"
+    folder = fresh_path(spark, "samples")
     fastq_lines(spread(rows), "sample_idx").write.partitionBy("sample_idx").text(folder)
     remove_at_exit(spark, folder)
     there = {r[0] for r in rows.select("sample_idx").distinct().collect()}  # at most twelve

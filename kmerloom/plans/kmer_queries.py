@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import AA28, CODON64, MITOCHONDRIAL64
-from ..durable import materialise, shared_dir, spread, table, unique_rows
+from ..durable import fresh_path, materialise, remove_at_exit, spread, table, unique_rows
 from ..functions import attributes, biotypes, kmers, vectorised
 from ..operators import counting, genomic_index, metrics, peptides, positions
 from ..operators.table import KmerTable, count_vector, push_vector, unpack_words
@@ -335,9 +333,10 @@ def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts taken in as a stream of files."""
     source = f"{sf_dir}/sample_counts.parquet"
-    at = f"{shared_dir(spark)}/kmerloom/stream-{uuid.uuid4().hex}"
+    at = fresh_path(spark, "stream")
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
     ingest.ingest_counts(stream, at, checkpoint=f"{at}/progress")
+    remove_at_exit(spark, at)
     return ingest.ingested(spark, at)
 
 
