@@ -73,22 +73,38 @@ def _window(x: np.ndarray, residues: int, join) -> np.ndarray:
     return out
 
 
+def stop_free_windows(bases: np.ndarray, borders: np.ndarray, good: np.ndarray, k: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the stop-free windows of ``k`` bases of the ``good`` rows start, their keys, and at which bases a stop codon starts."""
+    residues, stop = residues_of(k), AA28.index("*")
+    if len(bases) < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(max(0, len(bases) - 2), bool)
+    change = np.zeros(len(bases) + 1, np.int32)
+    np.add.at(change, borders[:-1][good], 1)
+    np.add.at(change, borders[1:][good] - k + 1, -1)
+    start = np.cumsum(change[: len(bases) - k + 1]) > 0
+    aa = code[_codons(bases)]
+    keys = _window(aa, residues, lambda a, b, w: (a << (BITS_PER_RESIDUE * w)) | b)
+    stops = _window(aa == stop, residues, lambda a, b, w: a | b)
+    at = np.flatnonzero(start & ~stops)
+    return at, keys[at], aa == stop
+
+
 def window_keys(reads: pa.Array, k: int, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(row, key)`` of all stop-free windows of ``k`` bases of the usable reads."""
-    residues, stop = residues_of(k), AA28.index("*")
     for first, bases, borders in _segments(reads):
         if len(bases) < k:
             continue
+        at, keys, _ = stop_free_windows(bases, borders, _usable(bases, borders, k), k, code)
+        yield first + np.searchsorted(borders, at, side="right") - 1, keys
+
+
+def usable_segments(reads: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows, base codes, borders)`` of the usable reads alone, by segments that have any."""
+    for first, bases, borders in _segments(reads):
         good = _usable(bases, borders, k)
-        change = np.zeros(len(bases) + 1, np.int32)
-        np.add.at(change, borders[:-1][good], 1)
-        np.add.at(change, borders[1:][good] - k + 1, -1)
-        start = np.cumsum(change[: len(bases) - k + 1]) > 0
-        aa = code[_codons(bases)]
-        keys = _window(aa, residues, lambda a, b, w: (a << (BITS_PER_RESIDUE * w)) | b)
-        stops = _window(aa == stop, residues, lambda a, b, w: a | b)
-        at = np.flatnonzero(start & ~stops)
-        yield first + np.searchsorted(borders, at, side="right") - 1, keys[at]
+        if good.any():
+            length = np.diff(borders)
+            yield first + np.flatnonzero(good), bases[np.repeat(good, length)], np.concatenate([[0], np.cumsum(length[good])])
 
 
 def _groups(batch: pa.RecordBatch, keep: list[str]) -> tuple[np.ndarray, np.ndarray]:
