@@ -5,7 +5,7 @@ its peptide can be summed up where it is cut. Which k-mers occur again is settle
 packed row of a written table) sends the sorted hashes of its windows, coded in about two bytes each, to the tasks of their
 ranges, which give back to each segment those that were seen elsewhere too or twice. The windows with such a hash, and no
 others, are then shuffled with their whole keys, counted by sample and joined. A hash that two keys share by chance only sends
-along a key that turns out to occur once; the figures are exact for any hash.
+along a key that turns out to occur once; the figures are exact for any hash. Equal reads are one read with many keys.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import CODON64
 from ..durable import materialise, wide_parallelism
-from ..functions.kmers import residues_of
+from ..functions.kmers import residues_of, usable_read
 from ..functions.vectorised import genetic_code, stop_free_windows, usable_segments
 
+#: Bases of a segment, about.
+SEGMENT_BASES = 1 << 20
 #: Hashes in a range, about, as a power of two.
 RANGE_BITS = 20
 #: Bits of a hash beyond those that number all bases: one window in 2 ** SPARE_BITS, at most, has the hash of another key.
@@ -57,6 +59,12 @@ def _decoded(high: bytes, below: bytes, low: int) -> np.ndarray:
     return ((ones - np.arange(len(ones))).astype(np.uint64) << np.uint64(low)) | whole.view("<u8").ravel()
 
 
+def _low_bits(n: int, bits: int, ranges: int) -> int:
+    """Bits below the unary part of ``n`` hashes: whole bytes at about one step a hash, but no step longer than a range."""
+    steps = max(ranges, n.bit_length())
+    return bits - max(ranges, bits - 8 * -(-(bits - steps) // 8))
+
+
 def _packed(bases: np.ndarray) -> bytes:
     four = np.concatenate([bases, np.zeros(-len(bases) % 4, np.uint8)]).reshape(-1, 4)
     return (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).astype(np.uint8).tobytes()
@@ -72,24 +80,44 @@ def _read(borders: bytes, packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return bases.ravel()[: borders[-1]], borders
 
 
-def _segments(reads: DataFrame, k: int, key: str, seq: str, sample: str) -> DataFrame:
+def _distinct_reads(reads: DataFrame, k: int, key: str, seq: str, sample: str) -> DataFrame:
+    """``(seq, keys, samples)``: every usable read once, with the keys and, counted, the samples it has.
+
+    Only reads whose hash occurs more than once are shuffled whole.
+    """
+    rows = reads.where(usable_read(F.col(seq), k)).select(F.col(key).alias("key"), F.col(sample).alias("sample"), F.col(seq).alias("seq"), F.xxhash64(seq).alias("hash"))
+    single = rows.select("seq", F.array("key").alias("keys"), F.array(F.struct("sample", F.lit(1).cast("bigint").alias("copies"))).alias("samples"), "hash")
+    more = materialise(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "equal_reads")
+    if more.isEmpty():
+        return single.drop("hash")
+    # A null is no element of a collected list, but a structure that holds it is.
+    copies = rows.join(more, "hash", "left_semi").groupBy("seq", "sample").agg(F.collect_list(F.struct("key")).alias("of"), F.count(F.lit(1)).alias("copies"))
+    equal = copies.groupBy("seq").agg(F.flatten(F.collect_list("of")).alias("of"), F.collect_list(F.struct("sample", "copies")).alias("samples"))
+    equal = equal.select("seq", F.transform(F.array_distinct("of"), lambda x: x["key"]).alias("keys"), "samples")
+    return single.join(more, "hash", "left_anti").drop("hash").unionByName(equal)
+
+
+def _segments(reads: DataFrame, k: int) -> DataFrame:
     """``(seg, n_bases, keys, samples, borders, bases)``: the usable reads, many to a row, two bits a base."""
     kinds = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for rows, bases, borders in usable_segments(batch.column(seq), k):
-                one = lambda c: pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), batch.column(c).take(pa.array(rows)))  # noqa: B023, E731
-                columns = [pa.array([seg]), pa.array([len(bases)], pa.int64()), one(key), one(sample), pa.array([borders.astype(np.int64).tobytes()]), pa.array([_packed(bases)])]
-                yield pa.RecordBatch.from_arrays(columns, names=["seg", "n_bases", "keys", "samples", "borders", "bases"])
-                seg += 1
+            for rows, bases, borders in usable_segments(batch.column("seq"), k):
+                cuts = np.unique(np.searchsorted(borders, np.arange(0, borders[-1], SEGMENT_BASES)).tolist() + [len(rows)])
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    part, own = bases[borders[a] : borders[b]], borders[a : b + 1] - borders[a]
+                    one = lambda c: pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(c).take(pa.array(rows[a:b])))  # noqa: B023, E731
+                    columns = [pa.array([seg]), pa.array([len(part)], pa.int64()), one("keys"), one("samples"), pa.array([own.astype(np.int64).tobytes()]), pa.array([_packed(part)])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["seg", "n_bases", "keys", "samples", "borders", "bases"])
+                    seg += 1
 
-    return reads.select(key, sample, seq).mapInArrow(run, f"seg bigint, n_bases bigint, keys array<{kinds[key]}>, samples array<{kinds[sample]}>, borders binary, bases binary")
+    return reads.select("keys", "samples", "seq").mapInArrow(run, f"seg bigint, n_bases bigint, keys array<{kinds['keys']}>, samples array<{kinds['samples']}>, borders binary, bases binary")
 
 
 def _seen_again(segments: DataFrame, k: int, code: np.ndarray, bits: int, ranges: int) -> DataFrame:
-    """``(seg, hashes)``: for every segment and range, the hashes of its windows that other segments have too, or it has twice.
+    """``(seg, range, low, high, below)``: for every segment and range, the hashes of its windows that other segments have too, or it has twice.
 
     ``bits`` of a hash are compared, by ``2 ** ranges`` ranges.
     """
@@ -104,10 +132,7 @@ def _seen_again(segments: DataFrame, k: int, code: np.ndarray, bits: int, ranges
                 hashes = np.sort(_hashes(keys, bits))
                 again = np.concatenate([[False], hashes[1:] == hashes[:-1]])
                 twice, once = np.unique(hashes[again]), hashes[~again]
-                # Steps of the unary part: no fewer than ranges, else about one a hash, with whole bytes below.
-                steps = max(ranges, len(once).bit_length())
-                steps = max(ranges, bits - 8 * -(-(bits - steps) // 8))
-                low = bits - steps
+                low = _low_bits(len(once), bits, ranges)
                 edges = np.arange((1 << ranges) + 1, dtype=np.uint64) << np.uint64(bits - ranges)
                 cut, cut_twice = np.searchsorted(once, edges), np.searchsorted(twice, edges)
                 rows = []
@@ -127,22 +152,24 @@ def _seen_again(segments: DataFrame, k: int, code: np.ndarray, bits: int, ranges
             at = np.minimum(np.searchsorted(own, common), len(own) - 1)
             back = np.union1d(common[own[at] == common], np.frombuffer(r["twice"], np.uint64))
             if len(back):
-                out.append((r["seg"], back.tobytes()))
-        return pa.table({"seg": pa.array([s for s, _ in out], pa.int64()), "hashes": pa.array([h for _, h in out], pa.binary())})
+                low = _low_bits(len(back) << ranges, bits, ranges)
+                out.append((r["seg"], table.column("range")[0].as_py(), low, *_coded(back - start, low)))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table({c: pa.array([x[i] for x in out], kind) for i, (c, kind) in enumerate(zip(("seg", "range", "low", "high", "below"), kinds))})
 
     sent = segments.select("seg", "borders", "bases").mapInArrow(send, "range int, seg bigint, low int, high binary, below binary, twice binary")
-    return sent.repartition(wide_parallelism(segments.sparkSession), "range").groupBy("range").applyInArrow(compare, "seg bigint, hashes binary")
+    return sent.repartition(wide_parallelism(segments.sparkSession), "range").groupBy("range").applyInArrow(compare, "seg bigint, range int, low int, high binary, below binary")
 
 
 def _repeated_reads(segments: DataFrame) -> DataFrame:
     """``(seg, places)`` of reads whose key other reads have too."""
-    rows = segments.select("seg", F.posexplode("keys").alias("place", "key"))
+    rows = segments.select("seg", F.posexplode("keys").alias("place", "keys")).select("seg", "place", F.explode("keys").alias("key"))
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("again"))
     return rows.join(keys.hint("merge"), F.col("key").eqNullSafe(F.col("again")), "left_semi").groupBy("seg").agg(F.collect_list("place").alias("places"))
 
 
-def _pieces(segments: DataFrame, k: int, code: np.ndarray, bits: int, key: str, sample: str) -> DataFrame:
-    """``(kmer_bits, key, frame, i, sample, n_kmers, n, alone)`` of segments with what was returned to them.
+def _pieces(segments: DataFrame, k: int, code: np.ndarray, bits: int, ranges: int) -> DataFrame:
+    """``(kmer_bits, keys, frame, i, samples, n_kmers, n, alone)`` of segments with what was returned to them.
 
     With a null ``kmer_bits``: a peptide and the number ``n`` of its k-mers that occur nowhere else, ``alone`` if those are all.
     Else a k-mer of a peptide that may occur elsewhere, and how often the peptide has it. ``n_kmers`` are the distinct k-mers,
@@ -170,7 +197,7 @@ def _pieces(segments: DataFrame, k: int, code: np.ndarray, bits: int, key: str,
                 first, peptide = np.flatnonzero(new), np.cumsum(new) - 1
 
                 flagged = np.zeros(len(at), bool)
-                back = np.unique(np.frombuffer(b"".join(r["hashes"].as_py() or ()), np.uint64))
+                back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_decoded(h["high"], h["below"], h["low"]) + (np.uint64(h["range"]) << np.uint64(bits - ranges)) for h in r["hashes"].as_py() or ())]))
                 if len(back):
                     hashes, shift = _hashes(keys, bits), np.uint64(max(0, bits - TABLE_BITS))
                     known = np.zeros(1 << min(bits, TABLE_BITS), bool)
@@ -200,10 +227,10 @@ def _pieces(segments: DataFrame, k: int, code: np.ndarray, bits: int, key: str,
                         pa.array(frame[first[which]].astype(np.int32)), pa.array(piece[first[which]].astype(np.int32)), r["samples"].values.take(pa.array(of)),
                         pa.array((plain + others)[which].astype(np.int32), mask=repeated[of]), pa.array(np.concatenate([plain[left], times])), pa.array(others[which] == 0),
                     ],
-                    names=["kmer_bits", key, "frame", "i", sample, "n_kmers", "n", "alone"],
+                    names=["kmer_bits", "keys", "frame", "i", "samples", "n_kmers", "n", "alone"],
                 )
 
-    return segments.mapInArrow(run, f"kmer_bits bigint, `{key}` {kinds['keys']}, frame int, i int, `{sample}` {kinds['samples']}, n_kmers int, n bigint, alone boolean")
+    return segments.mapInArrow(run, f"kmer_bits bigint, keys {kinds['keys']}, frame int, i int, samples {kinds['samples']}, n_kmers int, n bigint, alone boolean")
 
 
 def read_peptide_hits(reads: DataFrame, k: int, *, key: str = "rec_id", seq: str = "seq", sample: str = "sample_idx", code: str = CODON64) -> DataFrame:
@@ -215,23 +242,25 @@ def read_peptide_hits(reads: DataFrame, k: int, *, key: str = "rec_id", seq: str
     """
     residues_of(k)
     letters, _ = genetic_code(code)
-    segments = materialise(_segments(reads, k, key, seq, sample), "segments")
+    segments = materialise(_segments(_distinct_reads(reads, k, key, seq, sample), k), "segments")
     number = int(segments.agg(F.sum("n_bases")).first()[0] or 1).bit_length()
     bits, ranges = min(64, number + SPARE_BITS), max(0, number - RANGE_BITS)
     again = materialise(_repeated_reads(segments), "repeated_reads")
     any_again = not again.isEmpty()
 
     # What comes back may be far more than the planner can know, so it is never broadcast.
-    back = _seen_again(segments, k, letters, bits, ranges).groupBy("seg").agg(F.collect_list("hashes").alias("hashes"))
+    back = _seen_again(segments, k, letters, bits, ranges).groupBy("seg").agg(F.collect_list(F.struct("range", "low", "high", "below")).alias("hashes"))
     met = segments.repartition(wide_parallelism(reads.sparkSession), "seg").join(back.hint("merge"), "seg", "left")
     met = met.join(again.hint("merge"), "seg", "left") if any_again else met.withColumn("places", F.lit(None).cast("array<int>"))
-    pieces = materialise(_pieces(met.select("keys", "samples", "borders", "bases", "hashes", "places"), k, letters, bits, key, sample), "pieces")
+    pieces = materialise(_pieces(met.select("keys", "samples", "borders", "bases", "hashes", "places"), k, letters, bits, ranges), "pieces")
 
     peptide = [key, "frame", "i"]
-    figures = [F.col("n").alias("matched"), F.lit(1).cast("bigint").alias("min_cnt"), F.col("n").alias("sum_cnt")]
-    once = pieces.where("kmer_bits is null").select(*peptide, sample, "n_kmers", *figures, "alone")
-    shared = pieces.where("kmer_bits is not null")
-    counts = shared.groupBy("kmer_bits", sample).agg(F.sum("n").alias("cnt"))
+    of_sample = [F.col("s.sample").alias(sample), F.col("s.copies").alias("copies")]
+    once = pieces.where("kmer_bits is null").withColumn("s", F.explode("samples")).select(F.explode("keys").alias(key), "frame", "i", *of_sample, "n_kmers", "n", "alone")
+    once = once.select(*peptide, sample, "n_kmers", F.col("n").alias("matched"), F.col("copies").alias("min_cnt"), (F.col("n") * F.col("copies")).alias("sum_cnt"), "alone")
+    found = pieces.where("kmer_bits is not null")
+    counts = found.select("kmer_bits", "n", F.explode("samples").alias("s")).select("kmer_bits", "n", *of_sample).groupBy("kmer_bits", sample).agg(F.sum(F.col("n") * F.col("copies")).alias("cnt"))
+    shared = found.select("kmer_bits", F.explode("keys").alias(key), "frame", "i", "n_kmers")
     own = shared.groupBy("kmer_bits", *peptide).agg(F.max("n_kmers").alias("n_kmers"))
     hits = own.join(counts.hint("merge"), "kmer_bits").select(*peptide, sample, "n_kmers", F.lit(1).cast("bigint").alias("matched"), F.col("cnt").alias("min_cnt"), F.col("cnt").alias("sum_cnt"))
     hits = hits.unionByName(once.where("not alone").drop("alone")).groupBy(*peptide, sample).agg(F.max("n_kmers").alias("n_kmers"), F.sum("matched").alias("matched"), F.min("min_cnt").alias("min_cnt"), F.sum("sum_cnt").alias("sum_cnt"))

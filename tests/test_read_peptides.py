@@ -43,7 +43,9 @@ def some_reads(rng, repeated):
     rows = [(i, rng.choice([None, 1, 2, 3]), text(rng.choice([0, 5, 29, 30, 31, 100, 700]))) for i in range(60)]
     rows += [(100 + i, rng.choice([1, 2]), text(rng.randrange(40)) + common[rng.randrange(100) :] + text(20)) for i in range(12)]
     rows += [(200, 1, "A" * 90), (201, 2, "GCA" * 40), (202, 2, "GCA" * 40 + "TAA" * 3 + "GCA" * 20), (203, 1, None), (204, 1, common + "N"), (205, 3, common + "é")]
+    rows += [(400 + i, rng.choice([None, 1, 2]), rows[i % 4 + 6][2] or common) for i in range(9)]
     if repeated:
+        rows += [(400, 3, next(r[2] for r in rows if r[0] == 400)), (None, 3, common)]
         rows += [(7, 3, common), (7, 1, common[3:] + text(50)), (None, 1, text(90)), (None, None, common), (300, 1, text(200)), (300, 2, text(200))]
     return rows
 
@@ -54,6 +56,7 @@ def test_hits(spark, monkeypatch, k, segment, range_bits, spare, repeated):
     df = spark.createDataFrame(rows, "rec_id bigint, sample_idx int, seq string").repartition(3)
     monkeypatch.setattr(read_peptides, "RANGE_BITS", range_bits)
     monkeypatch.setattr(read_peptides, "SPARE_BITS", spare)
+    monkeypatch.setattr(read_peptides, "SEGMENT_BASES", 2 * segment)
 
     def segments(batches, k=k):  # the workers import the module anew
         vectorised.SEGMENT = segment
@@ -80,3 +83,16 @@ def test_windows_are_not_broadcast(spark):
     some = kmer_queries.frame_peptides(spark, DATA)
     counts = kmers.kmerize_peptide(some, "seq", 10).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")).withColumn("sample_idx", F.lit(1))
     assert broadcasts(peptides.peptide_hits(some, counts, 10)) == []
+
+
+def test_equal_reads_are_cut_once(spark, monkeypatch):
+    """Ten copies of a read under other keys give no more k-mers to shuffle than one."""
+    rng = random.Random(1)
+    text = "".join(rng.choice("ACGT") for _ in range(2000))
+    kept, pieces = read_peptides.materialise, {}
+    monkeypatch.setattr(read_peptides, "SPARE_BITS", 40)
+    monkeypatch.setattr(read_peptides, "materialise", lambda df, label: pieces.setdefault(label, kept(df, label)))
+    rows = [(i, i % 3, text) for i in range(10)]
+    df = spark.createDataFrame(rows, "rec_id bigint, sample_idx int, seq string")
+    assert sorted(repr(tuple(r)) for r in read_peptides.read_peptide_hits(df, 30).collect()) == by_hand(rows, 30)
+    assert pieces["pieces"].where("kmer_bits is not null").isEmpty()
